@@ -1,0 +1,62 @@
+"""Joins of skewed rows with a table that has one row per key."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot above HOT_ROWS rows. At most HOT_KEYS of them are listed, which bounds the
+# broadcast list; any key left out holds no more rows than the smallest one listed.
+HOT_ROWS = 200_000
+HOT_KEYS = 20_000
+NULL_SALTS = 4_096
+
+
+def group_key(value: Column | str) -> Column:
+    """Fixed-width grouping key of a long text; all nulls share one key."""
+    column = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.sha2(column.cast("string"), 256), F.lit(""))
+
+
+def salted_join(
+    rows: DataFrame,
+    keyed: DataFrame,
+    sizes: DataFrame,
+    key: str,
+    n: str,
+    how: str,
+    spread_by: Column,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join ``rows`` to ``keyed`` on ``key``, spreading the rows of hot keys over many tasks.
+
+    ``keyed`` has one row per key. ``sizes`` gives ``n``, the number of ``rows``, for every key
+    of ``rows``, also for those without a partner: their rows meet in one place all the same.
+    Rows of a hot key get a salt from ``spread_by`` and its partner is repeated once per salt.
+    Other keys keep salt 0 and are not copied.
+    """
+    hot = (
+        sizes.filter(F.col(n) > hot_rows)
+        .orderBy(F.desc(n), key)
+        .limit(HOT_KEYS)
+        .select(F.col(key).alias("_hot_key"), F.ceil(F.col(n) / hot_rows).cast("int").alias("_salts"))
+    )
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    salted_rows = (
+        rows.join(hot, F.col(key) == F.col("_hot_key"), "left")
+        .withColumn(
+            "_salt",
+            F.pmod(
+                F.xxhash64(spread_by),
+                F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(salts),
+            ).cast("int"),
+        )
+        .drop("_hot_key", "_salts")
+    )
+    salted_keyed = (
+        keyed.join(hot, F.col(key) == F.col("_hot_key"), "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("_hot_key", "_salts")
+    )
+    return salted_rows.join(salted_keyed, [key, "_salt"], how).drop("_salt")
