@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wicara.functions.wordlists import PROFANITY
-from wicara.sources.files import read_table
+from wicara.sources.files import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,7 +46,7 @@ def query(name: str, sql: str | None = None):
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents")
+    return spread(read_table(spark, folder, "documents"))
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:

@@ -159,8 +159,8 @@ where d.lang = 'en' group by d.doc_id
 def feed_stream(spark, folder):
     """The documents as a landed feed, scored by a stream that runs until the files are used up."""
     base = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    schema = documents(spark, folder).schema
-    posts = read_feed(spark, f"{folder}/documents.parquet", schema, "parquet")
+    schema = read_table(spark, folder, "documents").schema
+    posts = read_feed(spark, folder, schema, "parquet", pathGlobFilter="documents.parquet")
     scored = score_feed(
         posts,
         expressions(spark),

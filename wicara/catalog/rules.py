@@ -49,8 +49,8 @@ def matched(spark, folder):
 
 @query(
     "lexicon_grouped",
-    f"select {ascii_sql('p_name')} as expression, array_to_string(list_sort(list(distinct r) "
-    "filter (where r <> '')), '|') as regions, min(p_partkey) as position from "
+    f"select {ascii_sql('p_name')} as expression, coalesce(array_to_string(list_sort(list(distinct r) "
+    "filter (where r <> '')), '|'), '') as regions, min(p_partkey) as position from "
     "(select *, case when p_size % 7 = 0 then '' else p_brand end as r from part) q group by 1",
 )
 def lexicon_grouped(spark, folder):
@@ -439,15 +439,11 @@ def top_k_labels(spark, folder):
     from wicara.functions.lists import top_labels
 
     tokens = documents(spark, folder).select("doc_id", words(clean_ascii("text")).alias("ws"))
-    shares = F.array(
-        *[
-            F.round(
-                F.size(F.filter("ws", lambda w, t=t: w == F.lit(t)))
-                / F.greatest(F.size("ws"), F.lit(1)),
-                4,
-            )
-            for t in _TOP
-        ]
-    )
+
+    def share(term):
+        hits = F.size(F.filter("ws", lambda w: w == F.lit(term)))
+        return F.round(hits / F.greatest(F.size("ws"), F.lit(1)), 4)
+
+    shares = F.array(*[share(term) for term in _TOP])
     ranked = tokens.select("doc_id", shares.alias("p"))
     return ranked.select("doc_id", F.array_join(top_labels("p", _TOP, 3), ", ").alias("top_labels"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
@@ -21,13 +22,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def constant(value: object, kind: str) -> Column:
+    """Nested constant as one expression; the optimizer folds it into a literal."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def string_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return constant(list(values), "array<string>")
 
 
 def string_map(mapping: Mapping[str, str]) -> Column:
-    pairs = [F.lit(part) for pair in mapping.items() for part in pair]
-    return F.create_map(*pairs).cast("map<string,string>")
+    return constant(dict(mapping), "map<string,string>")
 
 
 def words(text: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicara.functions.columns import let, words
+from wicara.functions.columns import constant, let, words
 from wicara.functions.rules import join_expressions, join_regions, toxic_label
 from wicara.functions.text import clean_ascii
 from wicara.functions.wordlists import PROFANITY
@@ -62,40 +62,32 @@ def inline_expressions(grouped: DataFrame, limit: int = INLINE_EXPRESSIONS) -> E
 def match_inline(clean: Column, expressions: Expressions) -> Column:
     """Matches of a cleaned text, in lexicon order.
 
-    Cleaned text and expressions are words with single spaces, so a whole-word match is plain
-    containment between blanks. The hashed test on first words skips the scan for most texts.
+    One pass over the words looks up first words of expressions in a hash set; phrases are built
+    and looked up only there, so the cost hardly depends on the size of the lexicon.
     """
     none = F.array().cast(MATCHES)
     if not expressions:
         return none
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(expression).alias("expression"),
-                F.array(*[F.lit(region) for region in regions])
-                .cast("array<string>")
-                .alias("regions"),
-            )
-            for expression, regions in expressions
-        ]
-    )
-    first_words = sorted({expression.split(" ")[0] for expression, _ in expressions})
-
-    def matches(text: Column) -> Column:
-        return F.when(
-            F.exists(words(text), lambda w: w.isin(first_words)),
-            let(
-                F.concat(F.lit(" "), text, F.lit(" ")),
-                lambda padded: F.filter(
-                    table,
-                    lambda entry: F.contains(
-                        padded, F.concat(F.lit(" "), entry["expression"], F.lit(" "))
-                    ),
-                ),
-            ),
-        ).otherwise(none)
-
-    return let(clean, matches)
+    phrases = [expression for expression, _ in expressions]
+    first_words = sorted({phrase.split(" ")[0] for phrase in phrases})
+    sizes = sorted({phrase.count(" ") + 1 for phrase in phrases})
+    table = constant([{"expression": e, "regions": list(r)} for e, r in expressions], MATCHES)
+
+    def hits(tokens: Column) -> Column:
+        starts = F.filter(
+            F.transform(tokens, lambda w, i: F.when(w.isin(first_words), i + 1)),
+            lambda i: i.isNotNull(),
+        )
+        grams = F.transform(
+            starts, lambda i: F.array(*[F.array_join(F.slice(tokens, i, n), " ") for n in sizes])
+        )
+        return F.filter(F.flatten(grams), lambda g: g.isin(phrases))
+
+    def entries(found: Column) -> Column:
+        listed = F.filter(table, lambda entry: F.array_contains(found, entry["expression"]))
+        return F.when(F.size(found) > 0, listed).otherwise(none)
+
+    return let(words(clean), lambda tokens: let(hits(tokens), entries))
 
 
 def match_joined(df: DataFrame, text: str, row_id: str, grouped: DataFrame, out: str) -> DataFrame:

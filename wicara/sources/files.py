@@ -13,6 +13,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy work per row when the input has fewer partitions than cores.
+
+    A large input already has more partitions and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = COMMENTS) -> DataFrame:
     """CSV with a header row, quoted line breaks and doubled quotes, in a declared schema.
 

@@ -24,11 +24,13 @@ def read_feed(
     schema: T.StructType = POSTS,
     file_format: str = "json",
     max_files: int = 1_000,
+    **options: str,
 ) -> DataFrame:
     """Posts landed as files, picked up in bounded micro-batches."""
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
+        .options(**options)
         .format(file_format)
         .load(path)
     )
