@@ -45,6 +45,7 @@ def test_duplicates(rows, hot_rows):
     assert ids(quality.keep_first(rows, "text", "id")) == [1, 3, 5, 7]
     assert ids(quality.duplicate_rows(rows, "text", "id")) == [1, 2, 3, 4, 5, 6, 7, 8]
     assert quality.duplicate_count(rows, "text").first()["n_duplicates"] == 4
+    assert ids(quality.keep_first_consistent(rows, "text", "toxicity", "id")) == [3, 5, 7]
 
 
 def test_hot_keys_without_partner_are_spread(spark):

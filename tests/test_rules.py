@@ -111,7 +111,12 @@ def test_only_verified_meanings(spark, tmp_path):
     path = tmp_path / "numbers.json"
     path.write_text(json.dumps({"entries": entries}))
     numbers = promo.verified_numbers(read_number_reference(spark, str(path)))
-    report = promo_table(texts(spark, ["Menang88", "Juara77", "x"]), "id", numbers).orderBy("id").collect()
+    posts = texts(spark, ["Menang88", "Juara77", "x"])
+    found = promo.with_promotions(posts, "text")
+    inline = promo.with_meanings(found, "id", numbers).orderBy("id").collect()
+    joined = promo.with_meanings(found, "id", numbers, inline_limit=0).orderBy("id").collect()
+    assert [r["promotions"] for r in inline] == [r["promotions"] for r in joined]
+    report = promo_table(posts, "id", numbers).orderBy("id").collect()
     assert report[0]["verified_number_meanings"] == (
         "verified paraphrase (contextual; sources: licensed-source); second (unknown; sources: )"
     )

@@ -22,7 +22,7 @@ from wicara.catalog.base import (
 )
 from wicara.functions import lists, text
 from wicara.functions.columns import words
-from wicara.functions.emoji import EMOJI_PATTERN, extract_emojis, remove_emojis
+from wicara.functions.emoji import emoji_pattern, extract_emojis, remove_emojis
 from wicara.functions.wordlists import PRONOUN_MAP, SLANG_MAP
 from wicara.operators import labels as label_ops
 from wicara.operators import quality
@@ -31,6 +31,7 @@ from wicara.plans.preprocess import preprocess
 from wicara.sources.files import read_table
 
 WORD = r"[\p{L}\p{N}_]"
+EMOJI_PATTERN = emoji_pattern()
 CHARS = "regexp_extract_all({0}, '(?s).')"
 PRONOUNS = {**PRONOUN_MAP, **SLANG}
 ALL_SLANG = {**SLANG_MAP, **SLANG}

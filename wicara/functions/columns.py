@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def bind(df: DataFrame, name: str, value: Column, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Append ``value`` as a column that later steps read instead of re-computing.
+
+    The optimizer copies the expression of a plain column into every filter on it, so an expensive
+    one would run several times per row; it does not look through a generator. Rows failing
+    ``keep`` are left out.
+    """
+    items = F.array(value)
+    return df.select(
+        *[c for c in df.columns if c != name],
+        F.explode(items if keep is None else F.filter(items, keep)).alias(name),
+    )
+
+
 def constant(value: object, kind: str) -> Column:
     """Nested constant as one expression; the optimizer folds it into a literal."""
     return F.from_json(F.lit(json.dumps(value)), kind)

@@ -26,6 +26,10 @@ EMOJI_RANGES = """
 """
 
 
+# Blocks around the ranges above; a cheap test that rules out ordinary letters.
+EMOJI_BLOCKS = r"\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F000}-\x{1FAFF}"
+
+
 def _character_class() -> str:
     parts = []
     for item in EMOJI_RANGES.split():
@@ -34,26 +38,30 @@ def _character_class() -> str:
     return "[" + "".join(parts) + "]"
 
 
-def emoji_pattern() -> str:
-    """Regex for one whole emoji: flags, keycaps, tag flags, skin tones and joined sequences."""
+def emoji_pattern(guard: str = "") -> str:
+    """Regex for one whole emoji: flags, keycaps, tag flags, skin tones and joined sequences.
+
+    ``guard`` is tried before the long character class.
+    """
     base = _character_class()
     modifier = r"[\x{1F3FB}-\x{1F3FF}]?\x{FE0F}?"
     tags = r"(?:[\x{E0020}-\x{E007E}]+\x{E007F})?"
     return (
-        r"[\x{1F1E6}-\x{1F1FF}]{2}"
+        rf"{guard}(?:[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}"
+        rf"|{base}{modifier}{tags}(?:\x{{200D}}{base}{modifier})*)"
         r"|[0-9#*]\x{FE0F}?\x{20E3}"
-        rf"|{base}{modifier}{tags}(?:\x{{200D}}{base}{modifier})*"
     )
 
 
-EMOJI_PATTERN = emoji_pattern()
+# The guard is a look-ahead: the character class alone is tested range by range at every letter.
+_SCAN = emoji_pattern(f"(?=[{EMOJI_BLOCKS}])")
 
 
 def extract_emojis(text: Column | str) -> Column:
     """Emojis of the text in order, joined by a space; null reads as no emoji."""
-    found = F.regexp_extract_all(F.coalesce(as_col(text), F.lit("")), F.lit(EMOJI_PATTERN), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(as_col(text), F.lit("")), F.lit(_SCAN), F.lit(0))
     return F.array_join(found, " ")
 
 
 def remove_emojis(text: Column | str) -> Column:
-    return F.regexp_replace(as_col(text), F.lit(EMOJI_PATTERN), F.lit(""))
+    return F.regexp_replace(as_col(text), F.lit(_SCAN), F.lit(""))

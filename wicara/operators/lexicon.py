@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicara.functions.columns import constant, let, words
+from wicara.functions.columns import bind, constant, let, words
 from wicara.functions.rules import join_expressions, join_regions, toxic_label
 from wicara.functions.text import clean_ascii
 from wicara.functions.wordlists import PROFANITY
@@ -147,7 +147,7 @@ def lexicon_matches(
             return match_joined(df, text, row_id, grouped, out)
     else:
         expressions = lexicon
-    return df.withColumn(out, match_inline(clean_ascii(text), expressions))
+    return bind(df, out, match_inline(clean_ascii(text), expressions))
 
 
 def lexicon_rule(

@@ -8,11 +8,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wicara.functions.columns import bind, constant
 from wicara.functions.rules import join_meanings, join_patterns
 from wicara.functions.text import clean_ascii
 from wicara.functions.wordlists import GAMBLING_TERMS
 from wicara.operators.skew import salted_join
 
+# Up to this many meanings are looked up inside the row; a larger reference is joined.
+INLINE_MEANINGS = 20_000
 MEANINGS = "array<struct<meaning:string,meaning_status:string,source_ids:array<string>>>"
 
 
@@ -73,7 +76,7 @@ def verified_numbers(entries: DataFrame) -> DataFrame:
 def with_promotions(
     df: DataFrame, text: str, terms: Iterable[str] = GAMBLING_TERMS, out: str = "promotions"
 ) -> DataFrame:
-    return df.withColumn(out, find_promotions(text, terms))
+    return bind(df, out, find_promotions(text, terms))
 
 
 def promo_label(matches: Column | str) -> Column:
@@ -83,12 +86,41 @@ def promo_label(matches: Column | str) -> Column:
 
 
 def with_meanings(
-    df: DataFrame, row_id: str, numbers: DataFrame, matches: str = "promotions"
+    df: DataFrame,
+    row_id: str,
+    numbers: DataFrame,
+    matches: str = "promotions",
+    inline_limit: int = INLINE_MEANINGS,
 ) -> DataFrame:
-    """Add the verified meanings to each match; unknown numbers get an empty list.
+    """Add the verified meanings to each match; unknown numbers get an empty list."""
+    sizes = numbers.agg(F.coalesce(F.sum(F.size("meanings")), F.lit(0)))
+    if sizes.first()[0] <= inline_limit:
+        return _meanings_in_row(df, numbers, matches)
+    return _meanings_by_join(df, row_id, numbers, matches)
+
+
+def _meanings_in_row(df: DataFrame, numbers: DataFrame, matches: str) -> DataFrame:
+    listed = {r["number"]: [m.asDict() for m in r["meanings"]] for r in numbers.collect()}
+    table = constant(listed, f"map<string,{MEANINGS}>")
+    return df.withColumn(
+        matches,
+        F.transform(
+            matches,
+            lambda m: F.struct(
+                m["term"].alias("term"),
+                m["number"].alias("number"),
+                F.coalesce(F.try_element_at(table, m["number"]), F.array().cast(MEANINGS)).alias(
+                    "meanings"
+                ),
+            ),
+        ),
+    )
+
+
+def _meanings_by_join(df: DataFrame, row_id: str, numbers: DataFrame, matches: str) -> DataFrame:
+    """Only rows with a match enter the join, and a number that fills many of them is salted.
 
-    Only rows with a match enter the join, and a number that fills a large share of them is
-    salted. Matches return to their row by its unique id.
+    Matches return to their row by its unique id.
     """
     exploded = df.filter(F.size(matches) > 0).select(
         row_id, F.posexplode(matches).alias("_pos", "_match")

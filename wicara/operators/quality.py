@@ -102,6 +102,25 @@ def keep_first(df: DataFrame, key: str, row_id: str) -> DataFrame:
     return df.join(first, row_id, "left_semi")
 
 
+def keep_first_consistent(df: DataFrame, key: str, label: str, row_id: str) -> DataFrame:
+    """First row of each key whose rows agree on the label; null keys form one group.
+
+    Equals ``conflict_free_rows`` followed by ``keep_first`` with one aggregation for both.
+    """
+    first = (
+        df.groupBy(group_key(key).alias("_key"))
+        .agg(
+            F.min(row_id).alias(row_id),
+            F.min(label).alias("_low"),
+            F.max(label).alias("_high"),
+            F.count(key).alias("_n"),
+        )
+        .filter((F.col("_n") == 0) | F.coalesce(F.col("_low") == F.col("_high"), F.lit(True)))
+        .select(row_id)
+    )
+    return df.join(first, row_id, "left_semi")
+
+
 def duplicate_rows(df: DataFrame, key: str, row_id: str) -> DataFrame:
     """Every row whose key occurs more than once; nulls equal each other."""
     repeated = (

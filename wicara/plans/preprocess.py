@@ -7,12 +7,19 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wicara.functions.columns import bind
 from wicara.functions.emoji import extract_emojis
 from wicara.functions.lists import split_topics
-from wicara.functions.text import clean_unicode, collapse_repeats, remove_stopwords, slang_normalize
+from wicara.functions.text import (
+    clean_unicode,
+    collapse_repeats,
+    is_blank,
+    remove_stopwords,
+    slang_normalize,
+)
 from wicara.functions.wordlists import SLANG_MAP
 from wicara.operators.labels import multi_hot
-from wicara.operators.quality import conflict_free_rows, conflict_rows, drop_blank, drop_spam, keep_first
+from wicara.operators.quality import conflict_rows, drop_blank, drop_spam, keep_first_consistent
 from wicara.operators.stemming import stem_by_dictionary
 from wicara.schemas import require_columns
 
@@ -30,7 +37,7 @@ def distinct_comments(
     df: DataFrame, row_id: str, text: str = "text", label: str = "toxicity"
 ) -> DataFrame:
     """Usable rows without label conflicts, one per text."""
-    return keep_first(conflict_free_rows(usable_rows(df, text), text, label, row_id), text, row_id)
+    return keep_first_consistent(usable_rows(df, text), text, label, row_id)
 
 
 def derive_columns(
@@ -38,10 +45,17 @@ def derive_columns(
     text: str = "text",
     topic: str | None = "topic",
     slang: Mapping[str, str] = SLANG_MAP,
+    drop_empty: bool = False,
 ) -> DataFrame:
-    """Append emoji, cleaned text and topic list; a projection without a shuffle."""
-    derived = df.withColumn("emoji", extract_emojis(text)).withColumn(
-        "text_clean", slang_normalize(collapse_repeats(clean_unicode(text)), slang)
+    """Append emoji, cleaned text and topic list inside the row.
+
+    ``drop_empty`` leaves out rows whose text cleans to nothing.
+    """
+    derived = bind(
+        df.withColumn("emoji", extract_emojis(text)),
+        "text_clean",
+        slang_normalize(collapse_repeats(clean_unicode(text)), slang),
+        (lambda cleaned: ~is_blank(cleaned)) if drop_empty else None,
     )
     return derived.withColumn("topic_list", split_topics(topic)) if topic else derived
 
@@ -79,5 +93,5 @@ def preprocess(
     slang: Mapping[str, str] = SLANG_MAP,
 ) -> DataFrame:
     """All steps; rows that clean to nothing leave before the text is processed further."""
-    cleaned = drop_blank(derive_columns(distinct_comments(df, row_id), slang=slang), "text_clean")
+    cleaned = derive_columns(distinct_comments(df, row_id), slang=slang, drop_empty=True)
     return process_text(cleaned, row_id, stopwords, stems, encode_topic)
