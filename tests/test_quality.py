@@ -27,6 +27,7 @@ def hot_rows(request, monkeypatch):
     """Run once as configured and once with every repeated key treated as hot."""
     defaults = list(skew.salted_join.__defaults__)
     monkeypatch.setattr(skew.salted_join, "__defaults__", (request.param, *defaults[1:]))
+    monkeypatch.setattr(skew, "SAMPLE", 1.0)
     return request.param
 
 

@@ -11,7 +11,7 @@ from wicara.functions.columns import bind, constant, let, words
 from wicara.functions.rules import join_expressions, join_regions, toxic_label
 from wicara.functions.text import clean_ascii
 from wicara.functions.wordlists import PROFANITY
-from wicara.operators.skew import salted_join
+from wicara.operators.skew import salted_join, sampled_sizes
 
 # Up to this many expressions are matched inside the row; larger lexicons are joined.
 INLINE_EXPRESSIONS = 2_000
@@ -100,7 +100,6 @@ def match_joined(df: DataFrame, text: str, row_id: str, grouped: DataFrame, out:
         row[0]
         for row in grouped.select(F.size(F.split("expression", " ")).alias("n")).distinct().collect()
     ]
-    tokens = df.select(row_id, words(clean_ascii(text)).alias("_words"))
 
     def grams(n: int) -> Column:
         if n == 1:
@@ -110,12 +109,15 @@ def match_joined(df: DataFrame, text: str, row_id: str, grouped: DataFrame, out:
         ).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
 
-    exploded = tokens.select(
-        row_id,
-        F.explode(F.array_distinct(F.concat(*[grams(n) for n in sorted(sizes)]))).alias("expression"),
+    def distinct_grams(rows: DataFrame) -> DataFrame:
+        tokens = bind(rows.select(row_id, text), "_words", words(clean_ascii(text)))
+        every = F.array_distinct(F.concat(*[grams(n) for n in sorted(sizes)]))
+        return tokens.select(row_id, F.explode(every).alias("expression"))
+
+    counts = sampled_sizes(df, distinct_grams, "expression", "_n")
+    hits = salted_join(
+        distinct_grams(df), grouped, counts, "expression", "_n", "inner", F.col(row_id)
     )
-    counts = exploded.groupBy("expression").agg(F.count(F.lit(1)).alias("_n"))
-    hits = salted_join(exploded, grouped, counts, "expression", "_n", "inner", F.col(row_id))
     per_row = hits.groupBy(row_id).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("position", "expression", "regions"))),

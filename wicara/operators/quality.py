@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wicara.functions.text import is_blank
-from wicara.operators.skew import group_key, salted_join
+from wicara.operators.skew import HOT_ROWS, group_key, salted_join
+from wicara.session import cut_lineage
 
 
 def drop_spam(df: DataFrame, flag: str = "is_noise_or_spam_text") -> DataFrame:
@@ -46,14 +47,17 @@ def labels_per_key(df: DataFrame, key: str, label: str) -> DataFrame:
 
 def _key_stats(df: DataFrame, key: str, label: str) -> DataFrame:
     # min <> max decides the conflict in one partial aggregation, whatever the group size.
-    return (
+    stats = (
         df.filter(F.col(key).isNotNull())
         .groupBy(group_key(key).alias("_key"))
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.coalesce(F.min(label) != F.max(label), F.lit(False)).alias("_conflict"),
         )
+        .filter(F.col("_conflict") | (F.col("_n") > HOT_ROWS))
     )
+    # Read by two later steps, which would each read all texts again.
+    return cut_lineage(stats)
 
 
 def label_conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -74,7 +78,9 @@ def conflict_free_rows(df: DataFrame, key: str, label: str, row_id: str) -> Data
 def _against_conflicts(df: DataFrame, key: str, label: str, row_id: str, how: str) -> DataFrame:
     stats = _key_stats(df, key, label)
     conflicts = stats.filter("_conflict").select("_key")
-    rows = df.withColumn("_key", F.sha2(F.col(key).cast("string"), 256))
+    # Rows without a key match nothing; a key of their own keeps them from meeting in one task.
+    own = F.concat(F.lit("no key "), F.xxhash64(row_id).cast("string"))
+    rows = df.withColumn("_key", F.coalesce(F.sha2(F.col(key).cast("string"), 256), own))
     return salted_join(rows, conflicts, stats, "_key", "_n", how, F.col(row_id)).drop("_key")
 
 
@@ -123,7 +129,7 @@ def keep_first_consistent(df: DataFrame, key: str, label: str, row_id: str) -> D
 
 def duplicate_rows(df: DataFrame, key: str, row_id: str) -> DataFrame:
     """Every row whose key occurs more than once; nulls equal each other."""
-    repeated = (
+    repeated = cut_lineage(
         df.groupBy(group_key(key).alias("_key"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > 1)

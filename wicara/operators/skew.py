@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 # broadcast list; any key left out holds no more rows than the smallest one listed.
 HOT_ROWS = 200_000
 HOT_KEYS = 20_000
-NULL_SALTS = 4_096
+# Part of the rows read to estimate key sizes where no step needs them exactly.
+SAMPLE = 0.01
 
 
 def group_key(value: Column | str) -> Column:
@@ -18,6 +21,17 @@ def group_key(value: Column | str) -> Column:
     return F.coalesce(F.sha2(column.cast("string"), 256), F.lit(""))
 
 
+def sampled_sizes(
+    df: DataFrame, explode: Callable[[DataFrame], DataFrame], key: str, n: str
+) -> DataFrame:
+    """Estimated rows per key after ``explode``, from a sample of the rows before it.
+
+    The estimate decides how a join is spread, never its result.
+    """
+    counts = explode(df.sample(SAMPLE, seed=42)).groupBy(key).agg(F.count(F.lit(1)).alias("_sampled"))
+    return counts.select(key, (F.col("_sampled") / SAMPLE).cast("long").alias(n))
+
+
 def salted_join(
     rows: DataFrame,
     keyed: DataFrame,
@@ -30,32 +44,30 @@ def salted_join(
 ) -> DataFrame:
     """Join ``rows`` to ``keyed`` on ``key``, spreading the rows of hot keys over many tasks.
 
-    ``keyed`` has one row per key. ``sizes`` gives ``n``, the number of ``rows``, for every key
-    of ``rows``, also for those without a partner: their rows meet in one place all the same.
-    Rows of a hot key get a salt from ``spread_by`` and its partner is repeated once per salt.
-    Other keys keep salt 0 and are not copied.
+    ``keyed`` has one row per key. ``sizes`` gives ``n``, the (estimated) number of ``rows``, also
+    for keys without a partner: their rows meet in one place all the same. It is read first; if
+    no key is hot, the join is a plain one. Otherwise rows of a hot key get a salt from
+    ``spread_by`` and its partner is repeated once per salt; other keys are not copied.
     """
     hot = (
         sizes.filter(F.col(n) > hot_rows)
         .orderBy(F.desc(n), key)
         .limit(HOT_KEYS)
-        .select(F.col(key).alias("_hot_key"), F.ceil(F.col(n) / hot_rows).cast("int").alias("_salts"))
+        .select(key, F.ceil(F.col(n) / hot_rows).cast("int").alias("_salts"))
+        .collect()
     )
-    hot = F.broadcast(hot)
+    if not hot:
+        return rows.join(keyed, key, how)
+    kind = dict(rows.dtypes)[key]
+    listed = F.broadcast(rows.sparkSession.createDataFrame(hot, f"_hot_key {kind}, _salts int"))
     salts = F.coalesce("_salts", F.lit(1))
     salted_rows = (
-        rows.join(hot, F.col(key) == F.col("_hot_key"), "left")
-        .withColumn(
-            "_salt",
-            F.pmod(
-                F.xxhash64(spread_by),
-                F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(salts),
-            ).cast("int"),
-        )
+        rows.join(listed, F.col(key) == F.col("_hot_key"), "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
         .drop("_hot_key", "_salts")
     )
     salted_keyed = (
-        keyed.join(hot, F.col(key) == F.col("_hot_key"), "left")
+        keyed.join(listed, F.col(key) == F.col("_hot_key"), "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_hot_key", "_salts")
     )

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from wicara.functions.columns import words
-from wicara.operators.skew import salted_join
+from wicara.functions.columns import bind, words
+from wicara.operators.skew import salted_join, sampled_sizes
 
 # Dictionaries up to this size are sent to every executor (about 20 MB of short words).
 BROADCAST_STEMS = 200_000
@@ -64,9 +64,14 @@ def _stem_by_join(
     df: DataFrame, text: str, row_id: str, entries: DataFrame, out: str
 ) -> DataFrame:
     # Each row sends its distinct words once; only words with a stem come back.
-    exploded = df.select(row_id, F.explode(F.array_distinct(words(text))).alias("token"))
-    counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
-    found = salted_join(exploded, entries, counts, "token", "_n", "inner", F.col(row_id))
+    def distinct_words(rows: DataFrame) -> DataFrame:
+        tokens = bind(rows.select(row_id, text), "_words", F.array_distinct(words(text)))
+        return tokens.select(row_id, F.explode("_words").alias("token"))
+
+    counts = sampled_sizes(df, distinct_words, "token", "_n")
+    found = salted_join(
+        distinct_words(df), entries, counts, "token", "_n", "inner", F.col(row_id)
+    )
     per_row = found.groupBy(row_id).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "stem"))).alias("_stems")
     )
