@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wicara.models.forest import ForestParams
 from wicara.models.toxicity import ToxicityParams
 from wicara.operators.lexicon import default_lexicon, group_lexicon, inline_expressions
+from wicara.plans.evaluation import evaluation_report
 from wicara.plans.preprocess import conflict_report, preprocess, process_text
 from wicara.plans.scoring import score_posts
 from wicara.plans.training import TrainedModels, TrainingParams, train
@@ -70,6 +71,12 @@ def test_training_and_scoring(spark, tmp_path):
     models, split = train(df, "id", expressions(spark), params)
     sides = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
     assert sides == {"test": 16, "train": 64}
+    report = {(r["target"], r["side"], r["measure"]): r["value"] for r in evaluation_report(models, split).collect()}
+    assert len(report) == 28
+    assert report["toxicity svm", "test", "accuracy"] == 1.0
+    assert 0 <= report["toxicity svm", "test", "brier_score"] < 0.25
+    assert report["rule review", "test", "n_review"] == 0
+    assert report["mood", "train", "accuracy"] == 1.0
     posts = spark.createDataFrame([(1, "Kamu goblok!"), (2, "warga senang")], "id long, text string")
     got = score_posts(posts, models).orderBy("id").collect()
     assert [r["toxicity_final"] for r in got] == ["toxic", "non_toxic"]

@@ -23,6 +23,7 @@ from wicara.models.forest import ForestParams, fit_class_head, fit_label_vector_
 from wicara.models.toxicity import ToxicityParams, fit_toxicity
 from wicara.models.trimodel import fit_trimodel, out_of_fold_proto
 from wicara.operators.splits import stratified_row_folds
+from wicara.plans.evaluation import evaluation_report
 from wicara.plans.scoring import score_posts
 from wicara.plans.training import TrainingParams, train
 from wicara.session import cut_lineage, shared_dir
@@ -128,9 +129,8 @@ def calibrated_confidence(spark, folder):
     )
 
 
-@query("score_posts")
-def scored_posts(spark, folder):
-    """Train on the annotated texts, then score every document."""
+def trained(spark, folder):
+    """Models trained on the annotated texts, with the rows and their split."""
     rows = labelled(spark, folder).select(
         "doc_id",
         clean_ascii("text").alias("text_clean"),
@@ -139,12 +139,24 @@ def scored_posts(spark, folder):
     )
     # One topic per language keeps the number of label forests small.
     rows = rows.withColumn("topic_list", F.filter("topic_list", lambda t: ~t.startswith("src")))
-    models, _ = train(rows, "doc_id", expressions(spark), TRAINING)
+    return train(rows, "doc_id", expressions(spark), TRAINING)
+
+
+@query("score_posts")
+def scored_posts(spark, folder):
+    """Every document scored with the trained models."""
+    models, _ = trained(spark, folder)
     posts = documents(spark, folder).select("doc_id", "source", "text")
     report = score_posts(posts, models).drop("text")
     return report.withColumn("top_subtopics", F.array_join("top_subtopics", ", "))
 
 
+@query("evaluation_report")
+def evaluated(spark, folder):
+    models, rows = trained(spark, folder)
+    return evaluation_report(models, rows).withColumn("value", F.round("value", 6))
+
+
 FEED_SQL = f"""
 select d.doc_id, case when count(h.expression) > 0 then 'toxic' else 'non_toxic' end as rule_toxicity,
   coalesce(string_agg(h.expression, ', ' order by h.position), '') as matched_expressions,

@@ -93,7 +93,7 @@ def lexicon_matches(spark, folder):
     f"""
 select t.doc_id, x.expression, array_to_string(x.regions, '|') as regions
 from (select distinct doc_id, unnest({words_sql(ascii_sql('text'))}) as w from documents) t
-join (select {ascii_sql('text')} as expression, list_sort(list(distinct 'item' || item_id)) as regions
+join (select {ascii_sql('text')} as expression, list_sort(list(distinct 'set' || (item_id % 8))) as regions
   from (select item_id, unnest(string_split(text, ' ')) as text from benchmark) b
   group by 1) x on t.w = x.expression
 """,
@@ -102,7 +102,7 @@ def lexicon_matches_joined(spark, folder):
     """A lexicon that grows with the data: all words of the benchmark texts."""
     entries = read_table(spark, folder, "benchmark").select(
         F.explode(F.split("text", " ")).alias("expression"),
-        F.concat(F.lit("item"), "item_id").alias("region"),
+        F.concat(F.lit("set"), F.col("item_id") % 8).alias("region"),
         F.col("item_id").alias("position"),
     )
     grouped = lexicon.group_lexicon(entries)
@@ -229,24 +229,29 @@ def blank_posts(spark, folder):
 
 
 NUMBERS_SQL = """
-select cast(p_size as varchar) as number, p_partkey as position, p_name as meaning,
-  case when p_size % 3 = 0 then 'unknown' else p_type end as meaning_status,
-  case when p_partkey % 2 = 0 then p_brand || ', catalogue' else '' end as sources
-from part
-where p_size between 10 and 999 and p_partkey % 4 <> 1 and p_partkey % 7 <> 0
+select cast(8 + position % 60 as varchar) as number, position, p_name as meaning,
+  case when position % 3 = 0 then 'unknown' else p_type end as meaning_status,
+  case when position % 2 = 0 then brand || ', catalogue' else '' end as sources
+from (select p_name, p_type, min(p_partkey) as position, min(p_brand) as brand from part group by all) q
+where 8 + position % 60 >= 10 and position % 4 <> 1 and position % 7 <> 0
 """
 
 
 def number_entries(spark, folder):
-    """Parts as reviewed number meanings: some unreviewed, unnamed or without status and sources."""
-    part = read_table(spark, folder, "part")
-    return part.select(
-        F.col("p_partkey").alias("position"),
-        F.col("p_size").cast("string").alias("number"),
-        F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")).alias("meaning"),
-        F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("meaning_status"),
-        F.when(F.col("p_partkey") % 4 == 1, F.lit("pending")).otherwise(F.lit("verified")).alias("review_status"),
-        F.when(F.col("p_partkey") % 2 == 0, F.array("p_brand", F.lit("catalogue"))).alias("source_ids"),
+    """Distinct part names as reviewed number meanings, some unreviewed, unnamed or incomplete."""
+    position = F.col("position")
+    names = (
+        read_table(spark, folder, "part")
+        .groupBy("p_name", "p_type")
+        .agg(F.min("p_partkey").alias("position"), F.min("p_brand").alias("brand"))
+    )
+    return names.select(
+        "position",
+        (8 + position % 60).cast("string").alias("number"),
+        F.when(position % 7 != 0, F.col("p_name")).alias("meaning"),
+        F.when(position % 3 != 0, F.col("p_type")).alias("meaning_status"),
+        F.when(position % 4 == 1, F.lit("pending")).otherwise(F.lit("verified")).alias("review_status"),
+        F.when(position % 2 == 0, F.array("brand", F.lit("catalogue"))).alias("source_ids"),
     )
 
 

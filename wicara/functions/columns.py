@@ -45,10 +45,6 @@ def string_array(values: Iterable[str]) -> Column:
     return constant(list(values), "array<string>")
 
 
-def string_map(mapping: Mapping[str, str]) -> Column:
-    return constant(dict(mapping), "map<string,string>")
-
-
 def words(text: Column | str) -> Column:
     """Tokens of a space-separated text; blank and null texts have none."""
     return F.filter(
@@ -56,13 +52,38 @@ def words(text: Column | str) -> Column:
     )
 
 
+def _sql(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _listed(values: Iterable[str]) -> str:
+    # Long value lists travel as one SQL text instead of one call per literal.
+    return f"w IN ({', '.join(_sql(v) for v in values)})"
+
+
+def keep_words(tokens: Column, values: Iterable[str]) -> Column:
+    """Tokens found in ``values``, by hashed lookup."""
+    return F.call_function("filter", tokens, F.expr(f"w -> {_listed(values)}"))
+
+
+def drop_words(tokens: Column, values: Iterable[str]) -> Column:
+    """Tokens not found in ``values``."""
+    return F.call_function("filter", tokens, F.expr(f"w -> NOT {_listed(values)}"))
+
+
+def word_positions(tokens: Column, values: Iterable[str]) -> Column:
+    """1-based positions of the tokens found in ``values``."""
+    marked = F.call_function(
+        "transform", tokens, F.expr(f"(w, i) -> CASE WHEN {_listed(values)} THEN i + 1 END")
+    )
+    return F.filter(marked, lambda position: position.isNotNull())
+
+
 def replace_words(tokens: Column, mapping: Mapping[str, str]) -> Column:
     """Replace whole tokens once, without chaining replacements."""
     if not mapping:
         return tokens
-    keys = list(mapping)
-    table = string_map(mapping)
+    pairs = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in mapping.items())
     # The hashed membership test spares unmapped tokens the linear map lookup.
-    return F.transform(
-        tokens, lambda w: F.when(w.isin(keys), F.try_element_at(table, w)).otherwise(w)
-    )
+    replaced = f"CASE WHEN {_listed(mapping)} THEN try_element_at(map({pairs}), w) ELSE w END"
+    return F.call_function("transform", tokens, F.expr(f"w -> {replaced}"))

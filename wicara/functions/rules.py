@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wicara.functions.columns import as_col, let
+from wicara.functions.columns import as_col, keep_words, let
 from wicara.functions.text import normalized_words, token_set_counts
 from wicara.functions.wordlists import (
     KEYWORD_GROUPS,
@@ -29,7 +29,7 @@ def toxicity_meter(
     terms, severe = list(terms), list(severe)
 
     def score(tokens: Column) -> Column:
-        hits = F.size(F.filter(tokens, lambda w: w.isin(terms)))
+        hits = F.size(keep_words(tokens, terms))
         share = hits.cast("double") / F.greatest(F.size(tokens), F.lit(1))
         raised = F.when(
             F.exists(tokens, lambda w: w.isin(severe)), share + F.lit(METER_SEVERE_BONUS)

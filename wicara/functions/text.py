@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wicara.functions.columns import as_col, let, replace_words, string_array, words
+from wicara.functions.columns import as_col, drop_words, let, replace_words, string_array, words
 from wicara.functions.emoji import remove_emojis
 from wicara.functions.wordlists import PRONOUN_MAP, SLANG_MAP
 
@@ -93,9 +93,7 @@ def remove_stopwords(text: Column | str, stopwords: Iterable[str]) -> Column:
     """Drop listed words, case-sensitively, keeping order and repeats."""
     stop = sorted(set(stopwords))
     tokens = words(text)
-    if stop:
-        tokens = F.filter(tokens, lambda w: ~w.isin(stop))
-    return F.array_join(tokens, " ")
+    return F.array_join(drop_words(tokens, stop) if stop else tokens, " ")
 
 
 def is_blank(text: Column | str) -> Column:

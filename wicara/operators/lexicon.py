@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicara.functions.columns import bind, constant, let, words
+from wicara.functions.columns import bind, constant, keep_words, let, word_positions, words
 from wicara.functions.rules import join_expressions, join_regions, toxic_label
 from wicara.functions.text import clean_ascii
 from wicara.functions.wordlists import PROFANITY
@@ -74,14 +74,11 @@ def match_inline(clean: Column, expressions: Expressions) -> Column:
     table = constant([{"expression": e, "regions": list(r)} for e, r in expressions], MATCHES)
 
     def hits(tokens: Column) -> Column:
-        starts = F.filter(
-            F.transform(tokens, lambda w, i: F.when(w.isin(first_words), i + 1)),
-            lambda i: i.isNotNull(),
-        )
         grams = F.transform(
-            starts, lambda i: F.array(*[F.array_join(F.slice(tokens, i, n), " ") for n in sizes])
+            word_positions(tokens, first_words),
+            lambda i: F.array(*[F.array_join(F.slice(tokens, i, n), " ") for n in sizes]),
         )
-        return F.filter(F.flatten(grams), lambda g: g.isin(phrases))
+        return keep_words(F.flatten(grams), phrases)
 
     def entries(found: Column) -> Column:
         listed = F.filter(table, lambda entry: F.array_contains(found, entry["expression"]))
