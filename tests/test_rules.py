@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wicara.functions import rules
-from wicara.operators import lexicon, promo
+from wicara.operators import lexicon, promo, skew
 from wicara.plans.scoring import promo_table
 from wicara.sources.files import read_lexicon, read_number_reference
 
@@ -47,12 +47,17 @@ def test_matches_in_lexicon_order_without_repeats(spark):
     ]
 
 
-def test_joined_matches_equal_inline_matches(spark):
+@pytest.mark.parametrize("broadcast_bytes", [0, lexicon.BROADCAST_BYTES])
+@pytest.mark.parametrize("hot_rows", [1, skew.HOT_ROWS])
+def test_joined_matches_equal_inline_matches(spark, monkeypatch, broadcast_bytes, hot_rows):
+    monkeypatch.setattr(skew.salted_join, "__defaults__", (hot_rows,))
+    monkeypatch.setattr(skew, "SAMPLE", 1.0)
     values = ["tai anjing tai kucing", "dasar sampah masyarakat", None, "", "netral", "gila " * 50]
     df = texts(spark, values)
     grouped = lexicon.group_lexicon(lexicon.default_lexicon(spark))
     inline = lexicon.lexicon_matches(df, "text", expressions(spark)).orderBy("id").collect()
-    joined = lexicon.match_joined(df, "text", "id", grouped, "matches").orderBy("id").collect()
+    joined = lexicon.match_joined(df, "text", "id", grouped, "matches", broadcast_bytes)
+    joined = joined.orderBy("id").collect()
     assert [r["matches"] for r in inline] == [r["matches"] for r in joined]
 
 

@@ -125,3 +125,12 @@ def test_ascii_clean_equals_word_list(spark, values):
     values = [v.encode("utf-8", "ignore").decode() for v in values]
     expected = [" ".join(regex.findall("[a-z0-9]+", v.lower())) for v in values]
     assert apply(spark, text.clean_ascii, values) == expected
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(max_size=40).filter(lambda s: "\x00" not in s), min_size=20, max_size=40))
+def test_unicode_clean_leaves_words_and_single_spaces(spark, values):
+    values = [v.encode("utf-8", "ignore").decode() for v in values]
+    for cleaned in apply(spark, text.clean_unicode, values):
+        assert regex.fullmatch(r"(?:[\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+)*)?", cleaned)
+        assert not regex.search(r"(.)\1\1", cleaned)

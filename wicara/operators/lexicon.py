@@ -15,6 +15,8 @@ from wicara.operators.skew import salted_join, sampled_sizes
 
 # Up to this many expressions are matched inside the row; larger lexicons are joined.
 INLINE_EXPRESSIONS = 2_000
+# Joined lexicons up to this many characters are broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
 MATCHES = "array<struct<expression:string,regions:array<string>>>"
 
 Expressions = Sequence[tuple[str, Sequence[str]]]
@@ -87,16 +89,31 @@ def match_inline(clean: Column, expressions: Expressions) -> Column:
     return let(words(clean), lambda tokens: let(hits(tokens), entries))
 
 
-def match_joined(df: DataFrame, text: str, row_id: str, grouped: DataFrame, out: str) -> DataFrame:
+def match_joined(
+    df: DataFrame,
+    text: str,
+    row_id: str,
+    grouped: DataFrame,
+    out: str,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Matches for a lexicon of any size: join the word n-grams of each text with the expressions.
 
     Only n-gram sizes that occur in the lexicon are produced, each distinct n-gram of a text once.
     Frequent n-grams are salted by row; matches return to their row by its unique id.
     """
-    sizes = [
-        row[0]
-        for row in grouped.select(F.size(F.split("expression", " ")).alias("n")).distinct().collect()
-    ]
+    # One entry per phrase length; total text length decides whether the lexicon is broadcast.
+    shapes = (
+        grouped.select(
+            F.size(F.split("expression", " ")).alias("n"),
+            (F.length("expression") + F.length(F.array_join("regions", " ")) + 32).alias("bytes"),
+        )
+        .groupBy("n")
+        .agg(F.sum("bytes").alias("bytes"))
+        .collect()
+    )
+    sizes = [row["n"] for row in shapes]
+    small = sum(row["bytes"] for row in shapes) <= broadcast_bytes
 
     def grams(n: int) -> Column:
         if n == 1:
@@ -111,10 +128,14 @@ def match_joined(df: DataFrame, text: str, row_id: str, grouped: DataFrame, out:
         every = F.array_distinct(F.concat(*[grams(n) for n in sorted(sizes)]))
         return tokens.select(row_id, F.explode(every).alias("expression"))
 
-    counts = sampled_sizes(df, distinct_grams, "expression", "_n")
-    hits = salted_join(
-        distinct_grams(df), grouped, counts, "expression", "_n", "inner", F.col(row_id)
-    )
+    if small:
+        # Nothing but the matches is shuffled, whichever n-grams are frequent.
+        hits = distinct_grams(df).join(F.broadcast(grouped), "expression")
+    else:
+        counts = sampled_sizes(df, distinct_grams, "expression", "_n")
+        hits = salted_join(
+            distinct_grams(df), grouped, counts, "expression", "_n", "inner", F.col(row_id)
+        )
     per_row = hits.groupBy(row_id).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("position", "expression", "regions"))),
