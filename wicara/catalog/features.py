@@ -39,9 +39,8 @@ def grams(df, text="text"):
     return features.with_ngrams(df.withColumn("_clean", clean_ascii(text)), "_clean").drop("_clean")
 
 
-def fitted_vocabulary(spark, folder):
-    statistics = features.term_statistics(grams(documents(spark, folder)))
-    return features.vocabulary(statistics, MAX_FEATURES, 2)
+def fitted(docs):
+    return features.fit_tfidf(docs.select(clean_ascii("text").alias("clean")), "clean", MAX_FEATURES, 2)
 
 
 @query(
@@ -59,7 +58,8 @@ def ngrams_1_2(spark, folder):
 
 @query("tfidf_vocabulary", VOCABULARY_SQL)
 def tfidf_vocabulary(spark, folder):
-    return fitted_vocabulary(spark, folder)
+    statistics = features.term_statistics(grams(documents(spark, folder)))
+    return features.vocabulary(statistics, MAX_FEATURES, 2)
 
 
 @query(
@@ -74,9 +74,10 @@ select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) a
 """,
 )
 def tfidf_weights(spark, folder):
-    docs = documents(spark, folder).select("doc_id", clean_ascii("text").alias("clean"))
-    model = features.fit_tfidf(docs, "clean", MAX_FEATURES, 2)
-    weights = features.tfidf_long(model.transform(docs, "clean"), model, "doc_id")
+    docs = documents(spark, folder)
+    model = fitted(docs)
+    cleaned = docs.select("doc_id", clean_ascii("text").alias("clean"))
+    weights = features.tfidf_long(model.transform(cleaned, "clean"), model, "doc_id")
     return weights.withColumn("weight", F.round("weight", 6))
 
 
@@ -89,8 +90,10 @@ select b.item_id, coalesce(count(v.term) / nullif(count(b.term), 0), 0) as vocab
 """,
 )
 def vocabulary_coverage(spark, folder):
-    items = grams(read_table(spark, folder, "benchmark"))
-    return features.vocabulary_coverage(items, "ngrams", "item_id", fitted_vocabulary(spark, folder))
+    model = fitted(documents(spark, folder))
+    items = read_table(spark, folder, "benchmark").select("item_id", clean_ascii("text").alias("clean"))
+    covered = model.transform(items, "clean", coverage="vocabulary_coverage")
+    return covered.select("item_id", "vocabulary_coverage")
 
 
 @query(

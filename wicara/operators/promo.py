@@ -88,19 +88,21 @@ def promo_label(matches: Column | str) -> Column:
 def with_meanings(
     df: DataFrame,
     row_id: str,
-    numbers: DataFrame,
+    numbers: DataFrame | None,
     matches: str = "promotions",
     inline_limit: int = INLINE_MEANINGS,
 ) -> DataFrame:
     """Add the verified meanings to each match; unknown numbers get an empty list."""
+    if numbers is None:
+        return _meanings_in_row(df, {}, matches)
     sizes = numbers.agg(F.coalesce(F.sum(F.size("meanings")), F.lit(0)))
     if sizes.first()[0] <= inline_limit:
-        return _meanings_in_row(df, numbers, matches)
+        listed = {r["number"]: [m.asDict() for m in r["meanings"]] for r in numbers.collect()}
+        return _meanings_in_row(df, listed, matches)
     return _meanings_by_join(df, row_id, numbers, matches)
 
 
-def _meanings_in_row(df: DataFrame, numbers: DataFrame, matches: str) -> DataFrame:
-    listed = {r["number"]: [m.asDict() for m in r["meanings"]] for r in numbers.collect()}
+def _meanings_in_row(df: DataFrame, listed: dict[str, list[dict]], matches: str) -> DataFrame:
     table = constant(listed, f"map<string,{MEANINGS}>")
     return df.withColumn(
         matches,

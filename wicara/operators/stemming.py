@@ -11,9 +11,11 @@ from pyspark.sql.functions import pandas_udf
 
 from wicara.functions.columns import bind, words
 from wicara.operators.skew import salted_join, sampled_sizes
+from wicara.session import cut_lineage
 
-# Dictionaries up to this size are sent to every executor (about 20 MB of short words).
+# Dictionaries up to this many entries and characters are sent to every executor.
 BROADCAST_STEMS = 200_000
+BROADCAST_CHARACTERS = 16 * 1024 * 1024
 
 
 def distinct_tokens(df: DataFrame, text: str) -> DataFrame:
@@ -40,10 +42,12 @@ def stem_by_dictionary(
     broadcast_limit: int = BROADCAST_STEMS,
 ) -> DataFrame:
     """Replace each word by its stem; words without an entry stay as they are."""
-    entries = dictionary.filter(F.col("token") != F.col("stem"))
-    small = entries.limit(broadcast_limit + 1).collect()
-    if len(small) <= broadcast_limit:
-        return _stem_in_rows(df, text, {row["token"]: row["stem"] for row in small}, out)
+    # Measured first and read again later; building it may take a pass over all texts.
+    entries = cut_lineage(dictionary.select("token", "stem").filter(F.col("token") != F.col("stem")))
+    length = F.length("token") + F.length("stem")
+    size = entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("chars")).first()
+    if size["n"] <= broadcast_limit and size["chars"] <= BROADCAST_CHARACTERS:
+        return _stem_in_rows(df, text, {row["token"]: row["stem"] for row in entries.collect()}, out)
     return _stem_by_join(df, text, row_id, entries, out)
 
 
