@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wicara.llm import bpe, chat, decontaminate, langid, minhash, pii
+from wicara.llm import bpe, chat, decontaminate, langid, minhash, pii, warc
 from wicara.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,23 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
 
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest from p),
+g as (select payload_digest, max(page_id) as last_page from d where payload_bytes >= 1000 group by 1)
+select d.page_id, d.payload_bytes, d.payload_digest,
+  case when d.page_id <> g.last_page then 'revisit' else 'response' end as record_type,
+  case when d.page_id <> g.last_page then g.last_page end as refers_to
+from d left join g on d.payload_digest = g.payload_digest and d.payload_bytes >= 1000
+"""
+
+
+@query("op3_warc_index_merge", WARC_SQL)
+def warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc.capture_index(table(spark, folder, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_spaced_seed_decontamination")
 def spaced_seed_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
