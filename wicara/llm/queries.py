@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wicara.llm import bpe, chat, decontaminate, langid, minhash, pii, warc
+from wicara.llm import bpe, chat, decontaminate, embed, langid, minhash, pii, warc
 from wicara.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_nn_descent_near_dedup")
+def nn_descent_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = embed.near_duplicates(table(spark, folder, "embeddings"))
+    return found
+
+
 @query("op2_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
