@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wicara.llm import bpe, chat, decontaminate, embed, langid, minhash, pii, warc
+from wicara.llm import bpe, chat, decontaminate, embed, langid, minhash, pii, rollup, tokenfile, warc
 from wicara.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +54,53 @@ def warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# Words end at ASCII blanks; the revision counts only words with a letter or digit.
+WORD, SOLID, LETTERS = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D\p{L}\p{N}]*[\p{L}\p{N}][^\x20\x09-\x0D]*", r"\p{L}+"
+ROLLUP_SQL = f"""
+with d as (select min(doc_id) over (partition by coalesce(text, '')) as first_id, doc_id, source, lang,
+  coalesce(text, '') as text from documents),
+k as (select source, lang, len(regexp_extract_all(text, '{SOLID}')) as words,
+  len(regexp_extract_all(text, '{LETTERS}')) as letters from d where doc_id = first_id),
+t as (select source, lang, 'words-1' as tokenizer, words as n from k
+  union all select source, lang, 'letters-1', letters from k)
+select source, lang, tokenizer, count(*) as n_docs, cast(sum(n) as bigint) as n_tokens from t group by 1, 2, 3
+"""
+
+
+@query("op4_token_rollup", ROLLUP_SQL)
+def token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Load all counts, delete exact copies, revise word counts, and commit the deletes once more."""
+    scratch = Scratch(spark, "rollup")
+    body = F.coalesce("text", F.lit(""))
+    count = lambda pattern: F.regexp_count(body, F.lit(pattern)).cast("long")
+    counts = scratch.write(
+        table(spark, folder, "documents").select(
+            "doc_id",
+            "source",
+            "lang",
+            F.md5(body.cast("binary")).alias("digest"),
+            count(WORD).alias("words"),
+            count(SOLID).alias("solid"),
+            count(LETTERS).alias("letters"),
+        ),
+        "counts",
+    )
+    first = scratch.write(
+        counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "first"
+    )
+    copies = counts.join(first, "digest").where("doc_id <> first_id")
+    both = lambda rows, op: rollup.changes(rows, "words-1", op, F.col("words")).unionByName(
+        rollup.changes(rows, "letters-1", op, F.col("letters"))
+    )
+    kept = counts.join(copies.select("doc_id"), "doc_id", "left_anti")
+    totals = rollup.TokenRollup(spark, scratch.path("totals"))
+    totals.commit("load", both(counts, rollup.INSERT))
+    totals.commit("drop copies", both(copies, rollup.DELETE))
+    totals.commit("solid words", rollup.changes(kept.where("solid <> words"), "words-1", rollup.REVISE, F.col("solid")))
+    totals.commit("drop copies", both(copies, rollup.DELETE))
+    return scratch.finish(totals.totals())
+
+
 @query("op5_spaced_seed_decontamination")
 def spaced_seed_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -68,6 +116,11 @@ def bpe_pair_index(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op8_context_mixing_token_files")
+def context_mixing_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfile.token_index(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 # Both texts of the added conversation say this.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
