@@ -241,9 +241,12 @@ def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def capture_index(pages: DataFrame, files: int | None = None, partitions: int | None = None, **names: str) -> DataFrame:
-    """Write the archives, read them back and merge their runs; one row per page, globally ordered."""
+    """Write the archives, read them back and merge their runs; one row per page.
+
+    ``part`` numbers the index partitions in key order; each is stored in key and time order.
+    """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     write_archives(pages, scratch.path("archives"), files, **names)
     runs = scratch.write(read_runs(spark, f"{scratch.root}/archives"), "runs")
-    return scratch.finish(merge_runs(runs, partitions), "index")
+    return scratch.finish(merge_runs(runs, partitions).withColumn("part", F.spark_partition_id()), "index")
