@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wicara.llm.common import Scratch
-from wicara.llm.graph import components
+from wicara.llm.graph import components, grouped, spanning
 
 COSINE = 0.98
 NEIGHBOURS = 6
@@ -67,21 +67,6 @@ def _usable(batches):
         )
 
 
-def _grouped(batches, keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with equal first ``keys`` columns, the key columns left out."""
-    held, rows = None, []
-    for batch in batches:
-        listed = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        for key, group in groupby(listed, lambda r: r[:keys]):
-            if key != held and rows:
-                yield held, rows
-                rows = []
-            held = key
-            rows += [r[keys:] for r in group]
-    if rows:
-        yield held, rows
-
-
 def _best(ids: list[int], sims: np.ndarray, floor: np.ndarray, count: int) -> list[tuple[int, int, float]]:
     """For each member its ``count`` nearest others above its floor."""
     count = min(count, len(ids) - 1)
@@ -93,22 +78,6 @@ def _best(ids: list[int], sims: np.ndarray, floor: np.ndarray, count: int) -> li
     return [(ids[i], ids[j], s) for i, j, s in zip(rows.tolist(), near[rows, columns].tolist(), got[rows, columns].tolist(), strict=True)]
 
 
-def _spanning(ids: list[int], sims: np.ndarray) -> list[tuple[int, int, float]]:
-    """Each member with the smallest one it reaches by links among these members."""
-    near = sims >= COSINE
-    at = np.flatnonzero(near.any(axis=1))
-    if not len(at):
-        return []
-    near, names = near[np.ix_(at, at)], np.array(ids)[at]
-    roots = names.copy()
-    while True:
-        lower = np.minimum(roots, np.where(near, roots, np.iinfo(np.int64).max).min(axis=1))
-        if (lower == roots).all():
-            break
-        roots = lower
-    return [(u, v, SPAN) for u, v in zip(names.tolist(), roots.tolist(), strict=True) if u != v]
-
-
 def _edges(rows: list[tuple[int, int, float]]):
     import pyarrow as pa
 
@@ -120,7 +89,8 @@ def _compared(ids: list[int], vecs: list[bytes], floors: np.ndarray):
     rows = unit(vecs)
     sims = rows @ rows.T
     np.fill_diagonal(sims, -2.0)
-    return _edges(_best(ids, sims, floors, NEIGHBOURS) + _spanning(ids, sims))
+    spans = [(u, v, SPAN) for u, v in spanning(np.array(ids), sims >= COSINE)]
+    return _edges(_best(ids, sims, floors, NEIGHBOURS) + spans)
 
 
 def _signer(first: int):
@@ -191,7 +161,7 @@ def _start(classes: DataFrame, first: int) -> DataFrame:
 
 
 def _local_join(batches):
-    for _, rows in _grouped(batches, 2):
+    for _, rows in grouped(batches, 2):
         ids, floors, vecs = zip(*rows, strict=True)
         if len(ids) > 1:
             yield _compared(list(ids), list(vecs), np.array(floors))
@@ -246,7 +216,7 @@ def _block_counts(batches):
     """Links of the members of one block with those of another: (rep, links), copies counted."""
     import pyarrow as pa
 
-    for (_, i, j), rows in _grouped(batches, 3):
+    for (_, i, j), rows in grouped(batches, 3):
         ids, sides, copies, vecs = zip(*rows, strict=True)
         a = unit(list(vecs))
         side, weight, ids = np.array(sides), np.array(copies), np.array(ids)

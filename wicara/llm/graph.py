@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicara.llm.common import Scratch
 
 
+def grouped(batches, keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of Arrow rows with equal first ``keys`` columns, the key columns left out."""
+    held, rows = None, []
+    for batch in batches:
+        listed = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for key, group in itertools.groupby(listed, lambda r: r[:keys]):
+            if key != held and rows:
+                yield held, rows
+                rows = []
+            held = key
+            rows += [r[keys:] for r in group]
+    if rows:
+        yield held, rows
+
+
+def spanning(names: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Each member with the smallest name it reaches; ``near`` is a symmetric matrix of links."""
+    at = np.flatnonzero(near.any(axis=1))
+    if not len(at):
+        return []
+    near, names = near[np.ix_(at, at)], names[at]
+    roots = names.copy()
+    while True:
+        lower = np.minimum(roots, np.where(near, roots, np.iinfo(np.int64).max).min(axis=1))
+        if (lower == roots).all():
+            break
+        roots = lower
+    return [(u, v) for u, v in zip(names.tolist(), roots.tolist(), strict=True) if u != v]
+
+
 def _state(df: DataFrame) -> tuple:
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], row["s"]

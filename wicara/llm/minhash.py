@@ -3,9 +3,11 @@
 A sketch has a fixed number of coordinates. In the first rounds every element of a set is hashed to
 a random coordinate, in the later rounds to one given coordinate, and a coordinate keeps its
 smallest (round, value); each set therefore fills every coordinate, with the concentration of
-independent samples. Bands of coordinates name buckets. In each bucket all members are compared
-with its smallest one; buckets whose members still lie in several components then compare the
-members across components. Every link is confirmed on the full shingle sets.
+independent samples. Bands of coordinates name buckets. Members of a bucket whose sketches are
+alike are spanned by edges, whose components are clusters; all pairs of a cluster are verified on
+their full shingle sets, and only links that span its groups are put out. Buckets and clusters are
+compared in pairs of blocks, so neither the rows put out nor the work of a task grow with the square
+of a group.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing. Repeated rows
 of one id are one document, linked through any of its texts; each row is returned. A null id gets a
@@ -15,11 +17,11 @@ null component and is kept. Columns other than id and text are not read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicara.llm.common import Scratch
-from wicara.llm.graph import components
+from wicara.llm.graph import components, grouped, spanning
 from wicara.llm.hashing import PLACES, mix, shingle_sets, text_slices
 
 COORDINATES = 128
@@ -27,6 +29,8 @@ ROWS = 4  # coordinates of a band: a pair of similarity 0.75 misses all 32 bands
 BITS = 2  # bits kept of each coordinate to rule out pairs before their sets are fetched
 FARTHEST = 51  # differing coordinates (of those bits); six deviations above a similarity of 0.75
 PERCENT = 75
+BLOCK = 512  # members of a bucket or cluster on one side of a comparison
+BLOCK_SHINGLES = 400_000  # shingles on one side of a comparison
 _SALTS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -58,13 +62,14 @@ def _sketch_batches(batches):
     import pyarrow as pa
 
     weights = PLACES[:ROWS]
+    numbers = np.arange(COORDINATES // ROWS, dtype=np.uint64) * PLACES[-1]
     places = np.arange(COORDINATES // 4, dtype=np.uint64) * np.uint64(BITS)
     for batch in batches:
         for first, data, bounds in text_slices(batch.column(1)):
             sets = shingle_sets(data, bounds)
             n = len(sets)
             grid = sketches(sets)
-            bands = mix((grid.reshape(n, -1, ROWS) * weights).sum(axis=2, dtype=np.uint64))
+            bands = mix((grid.reshape(n, -1, ROWS) * weights).sum(axis=2, dtype=np.uint64) + numbers)
             short = (mix(grid) & np.uint64((1 << BITS) - 1)).reshape(n, 4, -1)
             bits = (short << places).sum(axis=2, dtype=np.uint64)
             sums = [(s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)) for s in sets]
@@ -83,53 +88,107 @@ def _sketch_batches(batches):
 
 
 def _set_batches(batches):
+    """(key, cluster, blocks, text) with the text's sorted shingle hashes in its place."""
     import pyarrow as pa
 
     for batch in batches:
-        for first, data, bounds in text_slices(batch.column(1)):
+        for first, data, bounds in text_slices(batch.column(3)):
             sets = shingle_sets(data, bounds)
-            ends = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(first, len(sets)),
-                    pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64))),
-                ],
-                names=["key", "set_a", "members"],
-            )
+            kept = [batch.column(i).slice(first, len(sets)) for i in range(3)]
+            members = pa.array([s.tobytes() if len(s) else None for s in sets], pa.binary())
+            rows = pa.RecordBatch.from_arrays([*kept, members], names=["key", "cluster", "blocks", "members"])
+            yield rows.filter(members.is_valid())
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].cast("long").alias("key"), docs[text].cast("string").alias("body"))
 
 
-def _distance(a: str, b: str) -> Column:
-    """Coordinates whose kept bits differ."""
-    odd = F.lit(0x5555555555555555)
-    total = F.lit(0)
-    for i in range(4):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd))
-    return total
-
-
-def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Pairs (u, u_set, v, v_set) whose full sets reach the similarity, as (u, v)."""
-    ends = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    sets = scratch.write(
-        texts.join(ends, "key", "left_semi")
-        .mapInArrow(_set_batches, "key long, set_a long, members array<long>")
-        .dropDuplicates(["key", "set_a"]),
-        f"{name}_sets",
+def _edges(rows: list[tuple[int, int]]):
+    import pyarrow as pa
+
+    u, v = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+_PAIRED = 0x5555555555555555
+
+
+def _alike(a: list[int], b: list[int]) -> bool:
+    """Whether the kept bits of two sketches allow the similarity."""
+    odd = 0
+    for x, y in zip(a, b, strict=True):
+        z = x ^ y
+        odd += ((z | z >> 1) & _PAIRED).bit_count()
+    return odd <= FARTHEST
+
+
+def _bucket_edges(batches):
+    """Members (key, bits) of a block pair of a bucket to edges that span those with alike sketches."""
+    out = []
+    for _, rows in grouped(batches, 3):
+        if len(rows) <= 4:
+            whole = [(k, [x & 0xFFFFFFFFFFFFFFFF for x in bits]) for k, bits in rows]
+            for i, (k, bits) in enumerate(whole):
+                out += [(k, other) for other, more in whole[:i] if k != other and _alike(bits, more)]
+        else:
+            names = np.array([k for k, _ in rows], np.int64)
+            bits = np.array([b for _, b in rows], np.int64).view(np.uint64)
+            odd = np.zeros((len(rows), len(rows)), np.int32)
+            for i in range(bits.shape[1]):
+                z = bits[:, None, i] ^ bits[None, :, i]
+                odd += np.bitwise_count((z | z >> np.uint64(1)) & np.uint64(_PAIRED))
+            near = odd <= FARTHEST
+            np.fill_diagonal(near, False)
+            out += spanning(names, near)
+        if len(out) > 5000:
+            yield _edges(out)
+            out = []
+    yield _edges(out)
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    sizes = np.array([len(s) for s in sets])
+    _, places = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    flags = np.zeros(int(places.max()) + 1, np.int32)
+    out = np.empty((len(sets), len(sets)), np.int64)
+    for i, (s, e) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+        flags[places[s:e]] = 1
+        out[i] = np.add.reduceat(flags[places], ends - sizes)
+        flags[places[s:e]] = 0
+    return out
+
+
+def _cluster_links(batches):
+    """Sets (key, members) of a block pair of a cluster to links that span those similar enough."""
+    for _, rows in grouped(batches, 3):
+        if len(rows) < 2:
+            continue
+        names = np.array([k for k, _ in rows], np.int64)
+        sets = [np.frombuffer(m, np.int64) for _, m in rows]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        shared = _shared(sets)
+        near = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
+        np.fill_diagonal(near, False)
+        if found := spanning(names, near):
+            yield _edges(found)
+
+
+def _in_blocks(rows: DataFrame, group: str, blocks: str, value: str) -> DataFrame:
+    """Rows (group, blocks, key, value) dealt to all pairs of blocks of their group, sorted by pair.
+
+    A pair of blocks holds the rows of both, so each pair of rows meets, and no group of any size
+    is gathered in one task.
+    """
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col(blocks)).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)))
+    return (
+        pairs.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", value)
+        .repartition(group, "i", "j")
+        .sortWithinPartitions(group, "i", "j", "key")
     )
-    left = sets.select(F.col("key").alias("u"), F.col("set_a").alias("u_set"), F.col("members").alias("a"))
-    right = sets.select(F.col("key").alias("v"), F.col("set_a").alias("v_set"), F.col("members").alias("b"))
-    joined = pairs.join(left, ["u", "u_set"]).join(right, ["v", "v_set"])
-    near = joined.where(100 * F.least(F.size("a"), F.size("b")) >= PERCENT * F.greatest(F.size("a"), F.size("b")))
-    shared = near.select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("i"))
-    links = scratch.write(shared.where(100 * F.col("i") >= PERCENT * (F.col("m") + F.col("n") - F.col("i"))).select("u", "v"), name)
-    scratch.drop(f"{name}_sets")
-    return links
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,60 +206,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = sketch.join(classes.select(F.col("rep").alias("key"), "set_a", "set_b"), ["key", "set_a", "set_b"], "left_semi")
     reps = first.dropDuplicates(["key", "set_a"])
 
-    filed = first.select("key", "set_a", F.posexplode("bands").alias("band", "bucket"))
+    # buckets with several members; their members with alike sketches form clusters
+    filed = reps.select("key", F.explode("bands").alias("bucket"))
     buckets = scratch.write(
-        filed.groupBy("band", "bucket")
-        .agg(F.min(F.struct("key", "set_a")).alias("least"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("band", "bucket", F.col("least.key").alias("v"), F.col("least.set_a").alias("v_set")),
+        filed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select(
+            "bucket", F.ceil(F.col("size") / F.lit(BLOCK)).alias("blocks")
+        ),
         "buckets",
     )
-    members = scratch.write(filed.join(buckets, ["band", "bucket"]), "members")
-    apart = (F.col("u") != F.col("v")) | (F.col("u_set") != F.col("v_set"))
-    stars = scratch.write(
-        members.select(F.col("key").alias("u"), F.col("set_a").alias("u_set"), "v", "v_set").where(apart).distinct(), "stars"
+    members = scratch.write(filed.join(buckets, "bucket"), "members").join(reps.select("key", "bits"), "key")
+    alike = _in_blocks(members, "bucket", "blocks", "bits").mapInArrow(_bucket_edges, "u long, v long")
+    clusters = scratch.write(components(scratch, alike, "alike"), "clusters")
+    scratch.drop("members", "buckets")
+
+    # inside a cluster all full sets are compared
+    counted = clusters.join(sketch.where("n > 0").select(F.col("key").alias("node"), "n"), "node")
+    sizes = counted.groupBy("component").agg(
+        F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("blocks")
+    )
+    placed = scratch.write(
+        clusters.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("cluster"), "blocks"), "placed"
     )
-    links = _verified(scratch, texts, stars, "star_links")
+    sets = texts.join(placed, "key").select("key", "cluster", "blocks", "body").mapInArrow(
+        _set_batches, "key long, cluster long, blocks long, members binary"
+    )
+    links = _in_blocks(sets, "cluster", "blocks", "members").mapInArrow(_cluster_links, "u long, v long")
 
     # one id with several texts joins the classes of all of them
     repeated = sketch.where("n > 0").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1 and key is not null")
     owned = sketch.join(repeated, "key", "left_semi").join(classes, ["set_a", "set_b", "n"])
     links = links.unionByName(owned.select(F.col("key").alias("u"), F.col("rep").alias("v")))
-    found = scratch.write(components(scratch, links, "round1"), "found")
-
-    # members of one bucket in different components: compare across components
-    placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "component", F.coalesce("component", "key")
-    )
-    mixed = (
-        placed.groupBy("band", "bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("band", "bucket")
-    )
-    loose = scratch.write(
-        placed.select("band", "bucket", "key", "set_a", "component")
-        .join(mixed, ["band", "bucket"], "left_semi")
-        .join(reps.select("key", "set_a", "n", "bits"), ["key", "set_a"]),
-        "loose",
-    )
-    a = loose.select("band", "bucket", F.col("key").alias("u"), F.col("set_a").alias("u_set"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
-    b = loose.select("band", "bucket", F.col("key").alias("v"), F.col("set_a").alias("v_set"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
-    across = (
-        a.join(b, ["band", "bucket"])
-        .where(F.col("cu") < F.col("cv"))
-        .where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
-        .where(_distance("bu", "bv") <= FARTHEST)
-        .select("u", "u_set", "v", "v_set")
-        .distinct()
-    )
-    known = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("v_set").alias("u_set"), F.col("u").alias("v"), F.col("u_set").alias("v_set")))
-    rest = scratch.write(across.join(known, ["u", "u_set", "v", "v_set"], "left_anti"), "rest")
-    if rest.head(1):
-        more = _verified(scratch, texts, rest, "rest_links")
-        if more.head(1):
-            both = links.unionByName(more)
-            found = scratch.write(components(scratch, both, "round2"), "found2")
+    found = components(scratch, links, "links")
 
     rows = sketch.select("key", "n", "set_a", "set_b").join(classes, ["set_a", "set_b", "n"], "left")
     out = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
