@@ -49,8 +49,7 @@ def test_read_back(pages, files):
 
 
 def test_archive_is_a_sequence_of_records(spark, pages):
-    path = Scratch(spark, "test").path("archives")
-    warc.write_archives(pages, path, 1)
+    path = warc.write_archives(pages, Scratch(spark, "test"), 1)
     (data,) = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).collect()]
     records = list(warc.parse_records(data))
     assert len(records) == len(PAGES)

@@ -7,9 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wicara.session import shared_dir
+from wicara.session import remove_on_exit, shared_dir
 
 # str.split() also breaks at the four separators U+001C to U+001F, which are no white space elsewhere.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -37,6 +36,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
+        remove_on_exit(self.spark, self.root)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -71,8 +71,3 @@ def slices(text: str, size: int) -> Iterator[str]:
         yield text[start : found.start()]
         start = found.start()
     yield text[start:]
-
-
-def hash_mod(column, modulus: int):
-    """Non-negative bucket of a column, used to salt and to deal rows."""
-    return F.pmod(F.xxhash64(column), F.lit(modulus)).cast("int")

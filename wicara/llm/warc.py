@@ -27,8 +27,9 @@ from wicara.llm.common import Scratch
 REVISIT_BYTES = 1000
 FIRST_CAPTURE = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)  # plus one second per page id
 SECONDS = 10 * 365 * 86_400
-RECORDS_PER_ARCHIVE = 20_000  # an archive is read by one task as a whole
+RECORDS_PER_ARCHIVE = 5_000  # an archive is read by one task as a whole
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_HEAD = re.compile(rb"WARC/1\.1\r\n(?:[^\r\n]+\r\n)+\r\n")
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
@@ -52,8 +53,14 @@ def responses(payloads: DataFrame) -> DataFrame:
     )
 
 
-def record_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One text row per WARC record."""
+def record_rows(
+    pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", html: str = "html"
+) -> DataFrame:
+    """One text row per WARC record.
+
+    The responses that have revisits are written first: a table of known size, which pages meet by
+    digest, and no payload is moved for a table small enough to be sent to every task.
+    """
     body = F.coalesce(pages[html].cast("string"), F.lit(""))
     rows = pages.select(
         pages[page_id].cast("long").alias("page"),
@@ -62,7 +69,7 @@ def record_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
         F.sha1(body.cast("binary")).alias("digest"),
         F.octet_length(body).alias("bytes"),
     )
-    known = rows.join(responses(rows.drop("url", "body")), "digest", "left")
+    known = rows.join(scratch.write(responses(rows.drop("url", "body")), "responses"), "digest", "left")
     revisit = F.col("refers_to").isNotNull() & (F.col("page") != F.col("refers_to")) & (F.col("bytes") >= REVISIT_BYTES)
     revisit = F.coalesce(revisit, F.lit(False))
     ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -92,26 +99,28 @@ def record_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
     return known.select(record.alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, files: int | None = None, **names: str) -> None:
-    """Write the records of ``pages`` below ``path``, dealt to ``files`` tasks or as they lie; a task's
+def write_archives(pages: DataFrame, scratch: Scratch, files: int | None = None, **names: str) -> str:
+    """Write the records of ``pages``, dealt to ``files`` tasks or as they lie; a task's
     records fill archives of at most ``RECORDS_PER_ARCHIVE``."""
-    rows = record_rows(pages, **names)
+    rows, path = record_rows(pages, scratch, **names), scratch.path("archives")
     dealt = rows.repartition(files) if files else rows
     dealt.write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
+    return path
 
 
-def parse_records(data: memoryview) -> Iterator[tuple[int, dict[str, str], memoryview]]:
-    """(offset, headers, payload) of every record of an archive; lengths, not marks, end payloads."""
-    at, whole = 0, bytes(data) if not isinstance(data, bytes) else data
+def parse_records(data) -> Iterator[tuple[int, dict[str, str], memoryview]]:
+    """(offset, headers, payload) of every record of an archive; lengths, not marks, end payloads.
+
+    ``data`` is any buffer; it is not copied.
+    """
+    at, whole = 0, memoryview(data)
     while at < len(whole):
-        start, head_end = at, whole.index(b"\r\n\r\n", at) + 2
-        lines = whole[at:head_end]
-        if not lines.startswith(b"WARC/1.1\r\n"):
+        start, head = at, _HEAD.match(whole, at)
+        if not head:
             raise ValueError(f"no WARC record at offset {at}")
-        headers = {k.decode(): v.decode() for k, v in _HEADER.findall(lines)}
-        body = head_end + 2
-        at = body + int(headers["Content-Length"])
-        yield start, headers, memoryview(whole)[body:at]
+        headers = {k.decode(): v.decode() for k, v in _HEADER.findall(head.group())}
+        at = head.end() + int(headers["Content-Length"])
+        yield start, headers, whole[head.end() : at]
         if whole[at : at + 4] != b"\r\n\r\n":
             raise ValueError(f"record at offset {start} does not end where its length says")
         at += 4
@@ -143,7 +152,7 @@ def _runs(batches):
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             run = []
-            for position, head, payload in parse_records(content.as_buffer().to_pybytes()):
+            for position, head, payload in parse_records(content.as_buffer()):
                 digest = hashlib.sha1(payload).hexdigest()
                 response = head["WARC-Type"] == "response"
                 if response and head["WARC-Payload-Digest"] != f"sha1:{digest}":
@@ -247,6 +256,5 @@ def capture_index(pages: DataFrame, files: int | None = None, partitions: int |
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    write_archives(pages, scratch.path("archives"), files, **names)
-    runs = scratch.write(read_runs(spark, f"{scratch.root}/archives"), "runs")
+    runs = scratch.write(read_runs(spark, write_archives(pages, scratch, files, **names)), "runs")
     return scratch.finish(merge_runs(runs, partitions).withColumn("part", F.spark_partition_id()), "index")
