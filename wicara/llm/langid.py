@@ -4,7 +4,7 @@ Texts are lower-cased, signs other than letters become blanks, and n-grams of on
 characters are hashed to ``BUCKETS`` features. Document frequencies cover every learning row. The
 regression is fitted with the follow-the-regularised-leader update and elastic-net penalties, in
 shards whose states are averaged after every round, on at most about ``rows_per_language`` labelled
-rows of each language (chosen by a hash of the text). A temperature fitted on rows kept out of the
+rows of each language (drawn by a hash of id and text). A temperature fitted on rows kept out of the
 regression then calibrates the probabilities.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicara.llm.common import Scratch, hash_mod
+from wicara.llm.common import Scratch
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -194,11 +194,13 @@ def fit(
     idf = np.log((1 + total) / (1 + seen)) + 1
 
     share = F.lit(float(rows_per_language)) / F.col("rows")
-    drawn = hash_mod(F.col("body"), 1 << 30) < share * F.lit(float(1 << 30))
+    # drawn row by row, so that many copies of one text do not enter or stay out together
+    lot = lambda seed, size: F.pmod(F.xxhash64(F.lit(seed), "key", "body"), F.lit(size))
+    drawn = lot(0, 1 << 30) < share * F.lit(float(1 << 30))
     sample = scratch.write(
         learn.join(counts, "lang")
         .where(drawn)
-        .select("lang", F.pmod(F.xxhash64("body", F.lit(1)), F.lit(SHARDS + 1)).cast("int").alias("shard"), "body")
+        .select("lang", lot(1, SHARDS + 1).cast("int").alias("shard"), "body")
         .mapInArrow(_features, "lang string, shard int, at array<int>, share array<double>"),
         "sample",
     )
