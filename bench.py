@@ -62,6 +62,7 @@ def main() -> None:
         f"local[{cpus}]",
         spark_sql_shuffle_partitions=cpus,
         spark_driver_memory="16g",
+        spark_wicara_inputPartitions=cpus,
         spark_ui_enabled="false",
         spark_ui_showConsoleProgress="false",
     )

@@ -19,6 +19,7 @@ def local_session():
         spark_ui_enabled="false",
         spark_sql_shuffle_partitions="8",
         spark_driver_memory="8g",
+        spark_wicara_inputPartitions="8",
         spark_ui_showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")

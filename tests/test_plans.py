@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from wicara.models.forest import ForestParams
 from wicara.models.toxicity import ToxicityParams
-from wicara.operators.lexicon import default_lexicon, group_lexicon, inline_expressions
+from wicara.operators.lexicon import Lexicon, default_lexicon, lexicon_frame
 from wicara.plans.evaluation import evaluation_report
-from wicara.plans.preprocess import conflict_report, preprocess, process_text
+from wicara.plans.preprocess import conflict_report, preprocess, process_text, topic_encoder
 from wicara.plans.scoring import score_posts
 from wicara.plans.training import TrainedModels, TrainingParams, train
 from wicara.schemas import POSTS
-from wicara.streaming.feed import read_feed, score_feed, write_feed
+from wicara.streaming.feed import read_feed, score_feed, write_batches, write_feed
 
 COMMENTS = [
     (0, "Kamu goblok bgt!!! \U0001f621", 0, 1, "a, b,,"),
@@ -58,7 +58,7 @@ def test_preprocess_checks_columns(spark):
 
 
 def expressions(spark):
-    return inline_expressions(group_lexicon(default_lexicon(spark)))
+    return Lexicon.of(default_lexicon(spark))
 
 
 def test_training_and_scoring(spark, tmp_path):
@@ -71,20 +71,20 @@ def test_training_and_scoring(spark, tmp_path):
     models, split = train(df, "id", expressions(spark), params)
     sides = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
     assert sides == {"test": 16, "train": 64}
-    report = {(r["target"], r["side"], r["measure"]): r["value"] for r in evaluation_report(models, split).collect()}
+    report = {(r["target"], r["side"], r["measure"]): r["value"] for r in evaluation_report(models, split, "id").collect()}
     assert len(report) == 28
     assert report["toxicity svm", "test", "accuracy"] == 1.0
     assert 0 <= report["toxicity svm", "test", "brier_score"] < 0.25
     assert report["rule review", "test", "n_review"] == 0
     assert report["mood", "train", "accuracy"] == 1.0
     posts = spark.createDataFrame([(1, "Kamu goblok!"), (2, "warga senang")], "id long, text string")
-    got = score_posts(posts, models).orderBy("id").collect()
+    got = score_posts(posts, models, "id").orderBy("id").collect()
     assert [r["toxicity_final"] for r in got] == ["toxic", "non_toxic"]
     assert [r["lexicon_rule_hit"] for r in got] == [True, False]
     assert got[1]["vocabulary_coverage"] == 1.0
     assert len(got[0]["top_subtopics"]) == 2
     models.save(str(tmp_path / "models"))
-    again = score_posts(posts, TrainedModels.load(spark, str(tmp_path / "models"))).orderBy("id").collect()
+    again = score_posts(posts, TrainedModels.load(spark, str(tmp_path / "models")), "id").orderBy("id").collect()
     assert again == got
 
 
@@ -100,8 +100,8 @@ def test_stream_equals_batch(spark, tmp_path):
     for number in (0, 2):
         lines = "\n".join(json.dumps(p) for p in posts[number : number + 2])
         (landed / f"{number}.json").write_text(lines)
-    batch = score_feed(spark.read.schema(POSTS).json(str(landed)), expressions(spark))
-    stream = score_feed(read_feed(spark, str(landed), max_files=1), expressions(spark))
+    batch = score_feed(spark.read.schema(POSTS).json(str(landed)), expressions(spark), "id")
+    stream = score_feed(read_feed(spark, str(landed), max_files=1), expressions(spark), "id")
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     for _ in range(2):  # a restart finds nothing new and writes nothing twice
         write_feed(stream, out, state, once=True).awaitTermination()
@@ -111,3 +111,28 @@ def test_stream_equals_batch(spark, tmp_path):
         ("toxic", "suspected_gambling_promo"), ("non_toxic", "no_pattern"),
     ]
     assert batch.select(F.max("meter")).first()[0] == 0.0
+
+
+def test_stream_with_a_joined_lexicon(spark, tmp_path):
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    posts = [{"id": i, "text": t, "lang": "id", "hashtags": ["viral"]} for i, t in enumerate(["menang88 goblok", "damai", "kata7 sok tahu"])]
+    (landed / "0.json").write_text("\n".join(json.dumps(p) for p in posts))
+    entries = [("goblok", "a"), ("sok tahu", "b")] + [(f"kata{i}", "c") for i in range(2_001)]
+    large = Lexicon.of(lexicon_frame(spark, entries))
+    feed = read_feed(spark, str(landed))
+    with pytest.raises(ValueError):
+        score_feed(feed, large, "id")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for _ in range(2):
+        write_batches(feed, lambda df: score_feed(df, large, "id"), out, state, once=True).awaitTermination()
+    rows = spark.read.parquet(out).orderBy("id").collect()
+    assert [r["matched_expressions"] for r in rows] == ["goblok", "", "sok tahu, kata7"]
+
+
+def test_topic_encoder_gives_new_data_the_same_columns(spark):
+    names = topic_encoder(comments(spark))
+    assert names == ["a", "b"]
+    new = spark.createDataFrame([(1, "x", "b, z")], "row_id long, text_clean string, topic string")
+    row = process_text(new, "row_id", encode_topic=names).first()
+    assert (row["topic_list_a"], row["topic_list_b"]) == (0, 1)

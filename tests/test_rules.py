@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wicara.functions import rules
-from wicara.operators import lexicon, promo, skew
+from wicara.operators import lexicon, promo
 from wicara.plans.scoring import promo_table
 from wicara.sources.files import read_lexicon, read_number_reference
 
@@ -16,16 +16,16 @@ def texts(spark, values):
 
 
 def expressions(spark):
-    return lexicon.inline_expressions(lexicon.group_lexicon(lexicon.default_lexicon(spark)))
+    return lexicon.Lexicon.of(lexicon.default_lexicon(spark))
 
 
 def ruled(spark, values):
-    rows = lexicon.lexicon_rule(texts(spark, values), "text", expressions(spark)).orderBy("id").collect()
+    rows = lexicon.lexicon_rule(texts(spark, values), "text", expressions(spark), "id").orderBy("id").collect()
     return [r["rule"] for r in rows]
 
 
 def test_lexicon_has_all_expressions(spark):
-    table = expressions(spark)
+    table = expressions(spark).expressions
     assert len(table) == 167
     assert dict(table)["anjing"] == ["Indonesia", "Sunda"]
     assert table[0][0] == "anjing"
@@ -47,22 +47,23 @@ def test_matches_in_lexicon_order_without_repeats(spark):
     ]
 
 
-@pytest.mark.parametrize("broadcast_bytes", [0, lexicon.BROADCAST_BYTES])
-@pytest.mark.parametrize("hot_rows", [1, skew.HOT_ROWS])
-def test_joined_matches_equal_inline_matches(spark, monkeypatch, broadcast_bytes, hot_rows):
-    monkeypatch.setattr(skew.salted_join, "__defaults__", (hot_rows,))
-    monkeypatch.setattr(skew, "SAMPLE", 1.0)
+@pytest.mark.parametrize("extra", [0, 2_001, 50_000])
+def test_joined_matches_equal_inline_matches(spark, extra):
     values = ["tai anjing tai kucing", "dasar sampah masyarakat", None, "", "netral", "gila " * 50]
     df = texts(spark, values)
-    grouped = lexicon.group_lexicon(lexicon.default_lexicon(spark))
-    inline = lexicon.lexicon_matches(df, "text", expressions(spark)).orderBy("id").collect()
-    joined = lexicon.match_joined(df, "text", "id", grouped, "matches", broadcast_bytes)
-    joined = joined.orderBy("id").collect()
+    inline = lexicon.lexicon_matches(df, "text", expressions(spark), "id").orderBy("id").collect()
+    more = spark.range(extra).selectExpr("1000 + id as position", "concat('kata lain ', id) as expression", "'x' as region")
+    large = lexicon.Lexicon.of(lexicon.default_lexicon(spark).unionByName(more), inline_limit=100)
+    assert not large.small
+    with pytest.raises(ValueError):
+        large.expressions
+    joined = lexicon.lexicon_matches(df, "text", large, "id").orderBy("id").collect()
     assert [r["matches"] for r in inline] == [r["matches"] for r in joined]
+    assert lexicon.lexicon_rule(df, "text", large, "id").filter("rule.toxic").count() == 3
 
 
 def test_rule_report(spark):
-    df = lexicon.lexicon_matches(texts(spark, ["goblok anjing", "baik"]), "text", expressions(spark))
+    df = lexicon.lexicon_matches(texts(spark, ["goblok anjing", "baik"]), "text", expressions(spark), "id")
     first, second = lexicon.rule_report(df).orderBy("id").collect()
     assert first["rule_toxicity"] == "toxic"
     assert first["matched_expressions"] == "anjing, goblok"
@@ -118,9 +119,8 @@ def test_only_verified_meanings(spark, tmp_path):
     numbers = promo.verified_numbers(read_number_reference(spark, str(path)))
     posts = texts(spark, ["Menang88", "Juara77", "x"])
     found = promo.with_promotions(posts, "text")
-    inline = promo.with_meanings(found, "id", numbers).orderBy("id").collect()
-    joined = promo.with_meanings(found, "id", numbers, inline_limit=0).orderBy("id").collect()
-    assert [r["promotions"] for r in inline] == [r["promotions"] for r in joined]
+    matched = promo.with_meanings(found, "id", numbers).orderBy("id").collect()
+    assert [[len(m["meanings"]) for m in r["promotions"]] for r in matched] == [[2], [0], []]
     report = promo_table(posts, "id", numbers).orderBy("id").collect()
     assert report[0]["verified_number_meanings"] == (
         "verified paraphrase (contextual; sources: licensed-source); second (unknown; sources: )"

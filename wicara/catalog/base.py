@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wicara.functions.wordlists import PROFANITY
-from wicara.sources.files import read_table, spread
+from wicara.sources.files import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,7 +46,9 @@ def query(name: str, sql: str | None = None):
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "documents"))
+    """The documents; ``spark.wicara.inputPartitions`` may deal small inputs to more tasks."""
+    tasks = spark.conf.get("spark.wicara.inputPartitions", None)
+    return read_table(spark, folder, "documents", int(tasks) if tasks else None)
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ from wicara.operators import features
 from wicara.operators.lexicon import lexicon_matches, rule_features
 from wicara.sources.files import read_table
 
-MAX_FEATURES = 2_000
+MAX_FEATURES = 20_000
 
 
 def grams_sql(source: str, row_id: str, text: str = "text") -> str:
@@ -107,7 +107,7 @@ from labels l join (select doc_id, {words_sql(ascii_sql('text'))} as ws from doc
 )
 def feature_assembly(spark, folder):
     """Engineered block of each annotated text, assembled on the row itself."""
-    matched = lexicon_matches(labelled(spark, folder), "text", expressions(spark))
+    matched = lexicon_matches(labelled(spark, folder), "text", expressions(spark), "doc_id")
     _, count = rule_features("matches")
     block = features.engineered_vector(
         [

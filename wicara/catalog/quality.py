@@ -46,14 +46,20 @@ def fill_defaults(spark, folder):
 
 @query(
     "safe_float",
-    "select event_id, case event_id % 4 when 0 then -1.0 when 1 then cast(value as double) "
-    "when 2 then cast(regexp_extract(props, '[0-9]+', 0) as double) else -1.0 end as number from events",
+    "select event_id, case event_id % 8 when 1 then cast(value as double) "
+    "when 2 then cast(regexp_extract(props, '[0-9]+', 0) as double) when 5 then 1000.0 + event_id % 10 "
+    "when 6 then event_id * 100.0 else -1.0 end as number from events",
 )
 def safe_float_query(spark, folder):
+    kind = F.col("event_id") % 8
     raw = (
-        F.when(F.col("event_id") % 4 == 0, F.col("props"))
-        .when(F.col("event_id") % 4 == 1, F.col("value").cast("string"))
-        .when(F.col("event_id") % 4 == 2, F.concat(F.lit(" "), F.regexp_extract("props", "[0-9]+", 0)))
+        F.when(kind == 0, F.col("props"))
+        .when(kind == 1, F.col("value").cast("string"))
+        .when(kind == 2, F.concat(F.lit(" "), F.regexp_extract("props", "[0-9]+", 0)))
+        .when(kind == 3, F.concat("event_id", F.lit("d")))  # suffixes and other bases are no numbers
+        .when(kind == 4, F.concat(F.lit("0x"), "event_id", F.lit("p3")))
+        .when(kind == 5, F.concat(F.lit("1_00"), F.col("event_id") % 10))
+        .when(kind == 6, F.concat("event_id", F.lit("e+2\t")))
     )
     return read_table(spark, folder, "events").select(
         "event_id", safe_float(raw, -1.0).alias("number")
@@ -250,8 +256,9 @@ def tagged_union(spark, folder):
 
 
 JSON_SQL = (
-    "case event_id % 6 when 0 then substr(props, 1, length(props) - 1) when 1 then '[' || props || ']' "
-    "when 2 then props || ' x' when 3 then cast(event_id as varchar) else props end"
+    "case event_id % 8 when 0 then substr(props, 1, length(props) - 1) when 1 then '[' || props || ']' "
+    "when 2 then props || ' x' when 3 then cast(event_id as varchar) when 4 then props || ']  ,[{}' "
+    "when 5 then chr(9) || props when 6 then props || '},' || props else props end"
 )
 
 
@@ -263,12 +270,15 @@ JSON_SQL = (
     f"from (select {JSON_SQL} as v from events) e) q",
 )
 def jsonl_validity(spark, folder):
-    kind = F.col("event_id") % 6
+    kind = F.col("event_id") % 8
     line = (
         F.when(kind == 0, F.expr("substr(props, 1, length(props) - 1)"))
         .when(kind == 1, F.concat(F.lit("["), "props", F.lit("]")))
         .when(kind == 2, F.concat("props", F.lit(" x")))
         .when(kind == 3, F.col("event_id").cast("string"))
+        .when(kind == 4, F.concat("props", F.lit("]  ,[{}")))
+        .when(kind == 5, F.concat(F.lit("\t"), "props"))
+        .when(kind == 6, F.concat("props", F.lit("},"), "props"))
         .otherwise(F.col("props"))
     )
     return json_validity(read_table(spark, folder, "events").select(line.alias("value")))

@@ -20,6 +20,7 @@ from wicara.catalog.base import (
     words_sql,
 )
 from wicara.functions import rules
+from wicara.functions.columns import words
 from wicara.functions.text import clean_ascii
 from wicara.functions.wordlists import KEYWORD_GROUPS, METER_SEVERE_TERMS, METER_TERMS, PRONOUN_MAP
 from wicara.operators import lexicon, promo
@@ -40,11 +41,11 @@ TOKENS_SQL = f"select doc_id, {mapped_sql(words_sql(ascii_sql('text')), PRONOUNS
 
 def expressions(spark):
     """The grouped test lexicon; the built-in list with the words the test texts contain."""
-    return lexicon.inline_expressions(lexicon.group_lexicon(lexicon.lexicon_frame(spark, ENTRIES)))
+    return lexicon.Lexicon.of(lexicon.lexicon_frame(spark, ENTRIES))
 
 
 def matched(spark, folder):
-    return lexicon.lexicon_matches(documents(spark, folder), "text", expressions(spark))
+    return lexicon.lexicon_matches(documents(spark, folder), "text", expressions(spark), "doc_id")
 
 
 @query(
@@ -72,7 +73,7 @@ from documents d left join ({hits_sql()}) h on d.doc_id = h.doc_id group by d.do
 """,
 )
 def lexicon_rule(spark, folder):
-    ruled = lexicon.lexicon_rule(documents(spark, folder), "text", expressions(spark))
+    ruled = lexicon.lexicon_rule(documents(spark, folder), "text", expressions(spark), "doc_id")
     return ruled.select("doc_id", "rule.label", F.size("rule.matches").cast("long").alias("n_matches"))
 
 
@@ -92,27 +93,69 @@ def lexicon_matches(spark, folder):
     "lexicon_matches_joined",
     f"""
 select t.doc_id, x.expression, array_to_string(x.regions, '|') as regions
-from (select distinct doc_id, unnest({words_sql(ascii_sql('text'))}) as w from documents) t
+from (select doc_id, ' ' || {ascii_sql('text')} || ' ' as padded from documents) t
 join (select {ascii_sql('text')} as expression, list_sort(list(distinct 'set' || (item_id % 8))) as regions
   from (select item_id, unnest(string_split(text, ' ')) as text from benchmark) b
-  group by 1) x on t.w = x.expression
+  group by 1) x on x.expression <> '' and contains(t.padded, ' ' || x.expression || ' ')
 """,
 )
 def lexicon_matches_joined(spark, folder):
-    """A lexicon that grows with the data: all words of the benchmark texts."""
+    """A lexicon that grows with the data: all words of the benchmark texts, some of which clean to phrases."""
     entries = read_table(spark, folder, "benchmark").select(
         F.explode(F.split("text", " ")).alias("expression"),
         F.concat(F.lit("set"), F.col("item_id") % 8).alias("region"),
         F.col("item_id").alias("position"),
     )
-    grouped = lexicon.group_lexicon(entries)
-    single = grouped.filter(~F.contains("expression", F.lit(" ")))
-    found = lexicon.match_joined(documents(spark, folder), "text", "doc_id", single, "matches")
+    found = lexicon.lexicon_hits(documents(spark, folder), "text", "doc_id", lexicon.group_lexicon(entries))
     return found.select("doc_id", F.explode("matches").alias("m")).select(
         "doc_id", "m.expression", F.array_join("m.regions", "|").alias("regions")
     )
 
 
+def phrases_sql(source: str, row_id: str, text: str) -> str:
+    """Every run of one to four words of a text, each once."""
+    return (
+        f"select distinct {row_id}, array_to_string(list_slice(ws, i, i + n - 1), ' ') as expression from "
+        f"(select *, unnest(range(1, greatest(len(ws) - n, 0) + 2)) as i from "
+        f"(select *, unnest(range(1, 5)) as n from "
+        f"(select {row_id}, {words_sql(ascii_sql(text))} as ws from {source}) a) b) c where i + n - 1 <= len(ws)"
+    )
+
+
+@query(
+    "lexicon_rule_large",
+    f"""
+select d.doc_id, case when count(h.expression) > 0 then 'toxic' else 'non_toxic' end as label,
+  count(h.expression) as n_matches, coalesce(sum(len(string_split(h.expression, ' '))), 0)::bigint as n_words
+from documents d left join (select t.doc_id, t.expression from ({phrases_sql('documents', 'doc_id', 'text')}) t
+  join (select distinct expression from ({phrases_sql('benchmark', 'item_id', 'text')}) x) b
+  on t.expression = b.expression) h on d.doc_id = h.doc_id group by d.doc_id
+""",
+)
+def lexicon_rule_large(spark, folder):
+    """A lexicon of all phrases of one to four words of the benchmark texts."""
+    split = words(clean_ascii("text"))
+    phrase = lambda n: F.transform(
+        F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - (n - 1))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.array_join(F.slice("ws", i, n), " "),
+    )
+    items = read_table(spark, folder, "benchmark").select("item_id", split.alias("ws"))
+    entries = items.select(
+        F.explode(F.concat(*[phrase(n) for n in range(1, 5)])).alias("expression"),
+        F.lit("Benchmark").alias("region"),
+        F.col("item_id").alias("position"),
+    )
+    docs = documents(spark, folder).select("doc_id", "text")
+    ruled = lexicon.lexicon_rule(docs, "text", lexicon.Lexicon.of(entries), "doc_id")
+    sizes = F.transform("rule.matches", lambda m: F.size(F.split(m["expression"], " ")))
+    return ruled.select(
+        "doc_id",
+        "rule.label",
+        F.size("rule.matches").cast("long").alias("n_matches"),
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n).alias("n_words"),
+    )
+
+
 @query(
     "rule_features",
     f"select d.doc_id, cast(count(h.expression) > 0 as integer) as rule_hit, "
@@ -136,7 +179,7 @@ from documents d left join ({hits_sql()}) h on d.doc_id = h.doc_id group by d.do
 
 @query("rule_report", RULE_REPORT_SQL)
 def rule_report(spark, folder):
-    return rule_table(documents(spark, folder).select("doc_id", "text"), expressions(spark)).drop("text")
+    return rule_table(documents(spark, folder).select("doc_id", "text"), expressions(spark), "doc_id").drop("text")
 
 
 @query("matched_regions", f"select doc_id, matched_regions from ({RULE_REPORT_SQL}) r")
@@ -155,15 +198,19 @@ def format_matches(spark, folder):
     )
 
 
-METER_SQL = f"""
+def meter_sql(terms=METER_WORDS, severe=SEVERE_WORDS, tokens: str = TOKENS_SQL) -> str:
+    return f"""
 select doc_id, case when len(ws) = 0 then 0.0 else round_even(least(1.0,
-    len(list_filter(ws, lambda w: w in {sql_list(METER_WORDS)})) / len(ws)
-    + case when len(list_filter(ws, lambda w: w in {sql_list(SEVERE_WORDS)})) > 0
+    len(list_filter(ws, lambda w: w in {sql_list(terms)})) / len(ws)
+    + case when len(list_filter(ws, lambda w: w in {sql_list(severe)})) > 0
       then 0.25 else 0.0 end), 4) end as score
-from ({TOKENS_SQL}) t
+from ({tokens}) t
 """
 
 
+METER_SQL = meter_sql()
+
+
 def metered(spark, folder):
     return documents(spark, folder).select(
         "doc_id", rules.toxicity_meter("text", METER_WORDS, SEVERE_WORDS, PRONOUNS).alias("score")
@@ -233,7 +280,7 @@ select cast(8 + position % 60 as varchar) as number, position, p_name as meaning
   case when position % 3 = 0 then 'unknown' else p_type end as meaning_status,
   case when position % 2 = 0 then brand || ', catalogue' else '' end as sources
 from (select p_name, p_type, min(p_partkey) as position, min(p_brand) as brand from part group by all) q
-where 8 + position % 60 >= 10 and position % 4 <> 1 and position % 7 <> 0
+where 8 + position % 60 >= 10 and position % 4 <> 1 and position % 7 <> 0 and position % 5 <> 0
 """
 
 
@@ -247,7 +294,8 @@ def number_entries(spark, folder):
     )
     return names.select(
         "position",
-        (8 + position % 60).cast("string").alias("number"),
+        # every fifth number ends in a line feed, which is no digit
+        F.concat((8 + position % 60).cast("string"), F.when(position % 5 == 0, F.lit("\n")).otherwise("")).alias("number"),
         F.when(position % 7 != 0, F.col("p_name")).alias("meaning"),
         F.when(position % 3 != 0, F.col("p_type")).alias("meaning_status"),
         F.when(position % 4 == 1, F.lit("pending")).otherwise(F.lit("verified")).alias("review_status"),
@@ -372,7 +420,7 @@ from labels l join documents d on l.doc_id = d.doc_id left join ({hits_sql()}) h
 
 
 def ruled_labels(spark, folder):
-    found = lexicon.lexicon_matches(labelled(spark, folder), "text", expressions(spark))
+    found = lexicon.lexicon_matches(labelled(spark, folder), "text", expressions(spark), "doc_id")
     return found.select(
         "doc_id", "lang", "source", "quality", "toxic", (F.size("matches") > 0).cast("int").alias("rule")
     )
@@ -440,7 +488,6 @@ from r where k <= 3 group by doc_id
 """,
 )
 def top_k_labels(spark, folder):
-    from wicara.functions.columns import words
     from wicara.functions.lists import top_labels
 
     tokens = documents(spark, folder).select("doc_id", words(clean_ascii("text")).alias("ws"))

@@ -16,13 +16,14 @@ from wicara.catalog.base import (
     labelled,
     mapped_sql,
     query,
+    quoted,
     sql_list,
     topics,
     words_sql,
 )
 from wicara.functions import lists, text
 from wicara.functions.columns import words
-from wicara.functions.emoji import emoji_pattern, extract_emojis, remove_emojis
+from wicara.functions.emoji import extract_emojis, remove_emojis
 from wicara.functions.wordlists import PRONOUN_MAP, SLANG_MAP
 from wicara.operators import labels as label_ops
 from wicara.operators import quality
@@ -31,7 +32,6 @@ from wicara.plans.preprocess import preprocess
 from wicara.sources.files import read_table
 
 WORD = r"[\p{L}\p{N}_]"
-EMOJI_PATTERN = emoji_pattern()
 CHARS = "regexp_extract_all({0}, '(?s).')"
 PRONOUNS = {**PRONOUN_MAP, **SLANG}
 ALL_SLANG = {**SLANG_MAP, **SLANG}
@@ -53,10 +53,16 @@ MARKED_SQL = (
 )
 
 
+# What each mark holds as emojis and what is left of it, spelled out by hand.
+EMOJIS = ("\U0001f600", "\U0001f44d\U0001f3fd", "\U0001f1ee\U0001f1e9", "\U0001f469\u200d\U0001f4bb \u2764\ufe0f",
+          "1\ufe0f\u20e3", "")
+BARE = (" ok", "!", " #Merah_Putih", "", " @admin_1", "no mark")
+BARE_SQL = f"(select doc_id, text || ' ' || [{', '.join(quoted(b) for b in BARE)}][(doc_id % 6) + 1] as text from documents)"
+
+
 def _clean_steps(value: str) -> str:
     value = f"lower(coalesce({value}, ''))"
     for pattern, replacement in (
-        (EMOJI_PATTERN, ""),
         (r"http\S+|www\S+", " "),
         ("<[^>]+>", " "),
         (f"@{WORD}+", " "),
@@ -92,7 +98,7 @@ def normalize_tokens(spark, folder):
     )
 
 
-@query("clean_text_unicode", unicode_sql(f"{MARKED_SQL} m", "doc_id"))
+@query("clean_text_unicode", unicode_sql(f"{BARE_SQL} m", "doc_id"))
 def clean_text_unicode(spark, folder):
     return marked(spark, folder).select("doc_id", text.clean_unicode("text").alias("text_clean"))
 
@@ -156,8 +162,7 @@ def squeeze_ws(spark, folder):
 
 @query(
     "extract_emojis",
-    f"select doc_id, array_to_string(regexp_extract_all(text, '{EMOJI_PATTERN}'), ' ') as emoji "
-    f"from {MARKED_SQL} m",
+    f"select doc_id, [{', '.join(quoted(e) for e in EMOJIS)}][(doc_id % 6) + 1] as emoji from documents",
 )
 def emojis(spark, folder):
     return marked(spark, folder).select("doc_id", extract_emojis("text").alias("emoji"))
@@ -165,7 +170,7 @@ def emojis(spark, folder):
 
 @query(
     "remove_emojis",
-    f"select doc_id, regexp_replace(text, '{EMOJI_PATTERN}', '', 'g') as body from {MARKED_SQL} m",
+    f"select doc_id, text as body from {BARE_SQL} m",
 )
 def without_emojis(spark, folder):
     return marked(spark, folder).select("doc_id", remove_emojis("text").alias("body"))
@@ -271,14 +276,16 @@ def split_topics(spark, folder):
 
 @query(
     "parse_list_literal",
-    "select doc_id, case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then lang || '|' || source "
-    "else lang end as topics from documents",
+    "select doc_id, case when doc_id % 7 = 3 then 'True|' || lang || '|None' when doc_id % 7 = 5 then '' "
+    "when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then lang || '|' || source else lang end as topics from documents",
 )
 def parse_list_literal(spark, folder):
     # Lists as a CSV export of Python lists spells them, and text that is no list.
     quote = F.lit("'")
     literal = (
-        F.when(F.col("doc_id") % 4 == 0, F.col("source"))
+        F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("[True, '"), "lang", F.lit("', None]")))
+        .when(F.col("doc_id") % 7 == 5, F.concat(F.lit("[null, '"), "lang", F.lit("']")))
+        .when(F.col("doc_id") % 4 == 0, F.col("source"))
         .when(
             F.col("doc_id") % 4 == 1,
             F.concat(F.lit("["), quote, "lang", F.lit("', ' "), "source", quote, F.lit("]")),

@@ -17,6 +17,11 @@ from wicara.functions.wordlists import PRONOUN_MAP, SLANG_MAP
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x1c-\x1f"
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+DECIMAL = (
+    rf"(?U)\A[{SPACE}]*[+-]?(?:(?i:inf(?:inity)?|nan)"
+    rf"|(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)[{SPACE}]*\z"
+)
 
 
 def _replace(text: Column | str, pattern: str, replacement: str) -> Column:
@@ -103,8 +108,16 @@ def is_blank(text: Column | str) -> Column:
 
 
 def safe_float(value: Column | str, default: float = 0.0) -> Column:
-    """Double value of a string or number, or ``default`` where it has none."""
-    return F.coalesce(as_col(value).try_cast("double"), F.lit(float(default)))
+    """Double value of a string or number, or ``default`` where it has none.
+
+    Strings hold a decimal number: digits may be grouped by single underscores; suffixes and
+    hexadecimal forms are none.
+    """
+    column = as_col(value)
+    text = column.cast("string")
+    plain = F.when(text.rlike(DECIMAL), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    number = F.when(F.typeof(column) == "string", plain).otherwise(column.try_cast("double"))
+    return F.coalesce(number, F.lit(float(default)))
 
 
 def token_set_counts(tokens: Column, groups: Iterable[Iterable[str]]) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,8 @@ from wicara.functions.columns import bind, constant, keep_words, let, word_posit
 from wicara.functions.rules import join_expressions, join_regions, toxic_label
 from wicara.functions.text import clean_ascii
 from wicara.functions.wordlists import PROFANITY
-from wicara.operators.skew import salted_join, sampled_sizes
+from wicara.session import cut_lineage
 
-# Up to this many expressions are matched inside the row; larger lexicons are joined.
-INLINE_EXPRESSIONS = 2_000
-# Joined lexicons up to this many characters are broadcast.
-BROADCAST_BYTES = 32 * 1024 * 1024
 MATCHES = "array<struct<expression:string,regions:array<string>>>"
 
 Expressions = Sequence[tuple[str, Sequence[str]]]
@@ -52,13 +50,40 @@ def group_lexicon(entries: DataFrame) -> DataFrame:
     )
 
 
-def inline_expressions(grouped: DataFrame, limit: int = INLINE_EXPRESSIONS) -> Expressions | None:
-    """The grouped lexicon as driver values, or None if it has more than ``limit`` entries."""
-    rows = grouped.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    rows.sort(key=lambda row: (row["position"], row["expression"]))
-    return [(row["expression"], list(row["regions"])) for row in rows]
+@dataclass
+class Lexicon:
+    """A grouped lexicon of any size.
+
+    Lexicons of at most ``inline_limit`` expressions are matched inside the row, which also works on
+    a stream; larger ones are joined. The matches are the same.
+    """
+
+    grouped: DataFrame
+    inline_limit: int = 2_000
+
+    @classmethod
+    def of(cls, entries: DataFrame | Lexicon, inline_limit: int = 2_000) -> Lexicon:
+        """The lexicon of (expression, region, position) rows."""
+        return entries if isinstance(entries, Lexicon) else cls(group_lexicon(entries), inline_limit)
+
+    @cached_property
+    def small(self) -> bool:
+        return self.grouped.limit(self.inline_limit + 1).count() <= self.inline_limit
+
+    @cached_property
+    def expressions(self) -> Expressions:
+        """Expressions with their regions, in lexicon order, of a small lexicon."""
+        if not self.small:
+            raise ValueError("this lexicon is matched by a join, not inside the row")
+        rows = sorted(self.grouped.collect(), key=lambda row: (row["position"], row["expression"]))
+        return [(row["expression"], list(row["regions"])) for row in rows]
+
+    def save(self, path: str) -> None:
+        self.grouped.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Lexicon:
+        return cls(spark.read.parquet(path))
 
 
 def match_inline(clean: Column, expressions: Expressions) -> Column:
@@ -89,31 +114,15 @@ def match_inline(clean: Column, expressions: Expressions) -> Column:
     return let(words(clean), lambda tokens: let(hits(tokens), entries))
 
 
-def match_joined(
-    df: DataFrame,
-    text: str,
-    row_id: str,
-    grouped: DataFrame,
-    out: str,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Matches for a lexicon of any size: join the word n-grams of each text with the expressions.
+def lexicon_hits(df: DataFrame, text: str, row_id: str, grouped: DataFrame, out: str = "matches") -> DataFrame:
+    """(row_id, matches) of the rows with a match, for a lexicon of any size.
 
-    Only n-gram sizes that occur in the lexicon are produced, each distinct n-gram of a text once.
-    Frequent n-grams are salted by row; matches return to their row by its unique id.
+    The word n-grams of each text, each distinct one once and only of sizes the lexicon has, are
+    joined with the expressions; texts themselves are not moved.
     """
-    # One entry per phrase length; total text length decides whether the lexicon is broadcast.
-    shapes = (
-        grouped.select(
-            F.size(F.split("expression", " ")).alias("n"),
-            (F.length("expression") + F.length(F.array_join("regions", " ")) + 32).alias("bytes"),
-        )
-        .groupBy("n")
-        .agg(F.sum("bytes").alias("bytes"))
-        .collect()
-    )
-    sizes = [row["n"] for row in shapes]
-    small = sum(row["bytes"] for row in shapes) <= broadcast_bytes
+    sizes = [
+        row["n"] for row in grouped.select(F.size(F.split("expression", " ")).alias("n")).distinct().collect()
+    ]  # phrase lengths
 
     def grams(n: int) -> Column:
         if n == 1:
@@ -123,59 +132,41 @@ def match_joined(
         ).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
 
-    def distinct_grams(rows: DataFrame) -> DataFrame:
-        tokens = bind(rows.select(row_id, text), "_words", words(clean_ascii(text)))
-        every = F.array_distinct(F.concat(*[grams(n) for n in sorted(sizes)]))
-        return tokens.select(row_id, F.explode(every).alias("expression"))
-
-    if small:
-        # Nothing but the matches is shuffled, whichever n-grams are frequent.
-        hits = distinct_grams(df).join(F.broadcast(grouped), "expression")
-    else:
-        counts = sampled_sizes(df, distinct_grams, "expression", "_n")
-        hits = salted_join(
-            distinct_grams(df), grouped, counts, "expression", "_n", "inner", F.col(row_id)
-        )
-    per_row = hits.groupBy(row_id).agg(
+    tokens = bind(df.select(row_id, text), "_words", words(clean_ascii(text)))
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(none, *[grams(n) for n in sorted(sizes)]))
+    hits = tokens.select(row_id, F.explode(every).alias("expression")).join(grouped, "expression")
+    return hits.groupBy(row_id).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("position", "expression", "regions"))),
             lambda m: F.struct(m["expression"].alias("expression"), m["regions"].alias("regions")),
         ).alias(out)
     )
+
+
+def match_joined(df: DataFrame, text: str, row_id: str, grouped: DataFrame, out: str) -> DataFrame:
+    """Append the matches of a lexicon of any size; they return to their row by its unique id."""
+    per_row = cut_lineage(lexicon_hits(df, text, row_id, grouped, out))
     return df.join(per_row, row_id, "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast(MATCHES))
     )
 
 
 def lexicon_matches(
-    df: DataFrame,
-    text: str,
-    lexicon: DataFrame | Expressions,
-    row_id: str | None = None,
-    out: str = "matches",
+    df: DataFrame, text: str, lexicon: DataFrame | Lexicon, row_id: str, out: str = "matches"
 ) -> DataFrame:
     """Append the matched expressions with their regions, in lexicon order.
 
-    A lexicon beyond the inline bound needs ``row_id``, the unique id of a row.
+    ``row_id`` is the unique id of a row.
     """
-    if isinstance(lexicon, DataFrame):
-        grouped = group_lexicon(lexicon)
-        expressions = inline_expressions(grouped)
-        if expressions is None:
-            if row_id is None:
-                raise ValueError("a large lexicon is joined and needs row_id")
-            return match_joined(df, text, row_id, grouped, out)
-    else:
-        expressions = lexicon
-    return bind(df, out, match_inline(clean_ascii(text), expressions))
+    lexicon = Lexicon.of(lexicon)
+    if lexicon.small:
+        return bind(df, out, match_inline(clean_ascii(text), lexicon.expressions))
+    return match_joined(df, text, row_id, lexicon.grouped, out)
 
 
 def lexicon_rule(
-    df: DataFrame,
-    text: str,
-    lexicon: DataFrame | Expressions,
-    row_id: str | None = None,
-    out: str = "rule",
+    df: DataFrame, text: str, lexicon: DataFrame | Lexicon, row_id: str, out: str = "rule"
 ) -> DataFrame:
     """Append ``struct(toxic, label, matches)``: toxic as soon as one expression matches."""
     matched = lexicon_matches(df, text, lexicon, row_id, "_matches")

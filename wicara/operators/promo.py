@@ -8,14 +8,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicara.functions.columns import bind, constant
+from wicara.functions.columns import bind
 from wicara.functions.rules import join_meanings, join_patterns
 from wicara.functions.text import clean_ascii
 from wicara.functions.wordlists import GAMBLING_TERMS
-from wicara.operators.skew import salted_join
 
-# Up to this many meanings are looked up inside the row; a larger reference is joined.
-INLINE_MEANINGS = 20_000
 MEANINGS = "array<struct<meaning:string,meaning_status:string,source_ids:array<string>>>"
 
 
@@ -27,7 +24,7 @@ def prefix_alternatives(terms: Iterable[str]) -> str:
     """Regex alternatives of the cleaned terms, longest first."""
     cleaned = {_clean_term(term) for term in terms} - {""}
     if not cleaned:
-        raise ValueError("at least one prefix term is required")
+        raise ValueError("no prefix term left after cleaning")
     # Cleaned terms are letters, digits and blanks: nothing to escape.
     return "|".join(sorted(cleaned, key=lambda term: (-len(term), term)))
 
@@ -56,7 +53,7 @@ def find_promotions(text: Column | str, terms: Iterable[str] = GAMBLING_TERMS) -
 def verified_numbers(entries: DataFrame) -> DataFrame:
     """Reviewed meanings per number: 2-3 digits, a meaning, status ``verified``."""
     usable = entries.filter(
-        F.col("number").rlike("^[0-9]{2,3}$")
+        F.col("number").rlike(r"\A[0-9]{2,3}\z")
         & (F.coalesce(F.col("meaning"), F.lit("")) != "")
         & (F.col("review_status") == "verified")
     )
@@ -86,56 +83,30 @@ def promo_label(matches: Column | str) -> Column:
 
 
 def with_meanings(
-    df: DataFrame,
-    row_id: str,
-    numbers: DataFrame | None,
-    matches: str = "promotions",
-    inline_limit: int = INLINE_MEANINGS,
+    df: DataFrame, row_id: str, numbers: DataFrame | None, matches: str = "promotions"
 ) -> DataFrame:
-    """Add the verified meanings to each match; unknown numbers get an empty list."""
+    """Add the verified meanings to each match; unknown numbers get an empty list.
+
+    Only matches enter the join with the reference; they return to their row by its unique id.
+    """
+    none = F.array().cast(MEANINGS)
     if numbers is None:
-        return _meanings_in_row(df, {}, matches)
-    sizes = numbers.agg(F.coalesce(F.sum(F.size("meanings")), F.lit(0)))
-    if sizes.first()[0] <= inline_limit:
-        listed = {r["number"]: [m.asDict() for m in r["meanings"]] for r in numbers.collect()}
-        return _meanings_in_row(df, listed, matches)
-    return _meanings_by_join(df, row_id, numbers, matches)
-
-
-def _meanings_in_row(df: DataFrame, listed: dict[str, list[dict]], matches: str) -> DataFrame:
-    table = constant(listed, f"map<string,{MEANINGS}>")
-    return df.withColumn(
-        matches,
-        F.transform(
+        return df.withColumn(
             matches,
-            lambda m: F.struct(
-                m["term"].alias("term"),
-                m["number"].alias("number"),
-                F.coalesce(F.try_element_at(table, m["number"]), F.array().cast(MEANINGS)).alias(
-                    "meanings"
-                ),
+            F.transform(
+                matches,
+                lambda m: F.struct(m["term"].alias("term"), m["number"].alias("number"), none.alias("meanings")),
             ),
-        ),
-    )
-
-
-def _meanings_by_join(df: DataFrame, row_id: str, numbers: DataFrame, matches: str) -> DataFrame:
-    """Only rows with a match enter the join, and a number that fills many of them is salted.
-
-    Matches return to their row by its unique id.
-    """
+        )
     exploded = df.filter(F.size(matches) > 0).select(
         row_id, F.posexplode(matches).alias("_pos", "_match")
     ).select(row_id, "_pos", F.col("_match.term").alias("_term"), F.col("_match.number").alias("number"))
-    counts = exploded.groupBy("number").agg(F.count(F.lit(1)).alias("_n"))
-    # Numbers have two or three digits, so this side has at most 1,100 rows.
-    keyed = counts.join(numbers, "number", "left").drop("_n")
-    joined = salted_join(exploded, keyed, counts, "number", "_n", "inner", F.col(row_id))
+    joined = exploded.join(numbers, "number", "left")
     entry = F.struct(
         F.col("_pos"),
         F.col("_term").alias("term"),
         F.col("number"),
-        F.coalesce("meanings", F.array().cast(MEANINGS)).alias("meanings"),
+        F.coalesce("meanings", none).alias("meanings"),
     )
     per_row = joined.groupBy(row_id).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
     kind = f"array<struct<term:string,number:string,meanings:{MEANINGS}>>"

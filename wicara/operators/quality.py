@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wicara.functions.text import is_blank
-from wicara.operators.skew import HOT_ROWS, group_key, salted_join
+from wicara.operators.keys import group_key
 from wicara.session import cut_lineage
 
 
@@ -45,19 +45,15 @@ def labels_per_key(df: DataFrame, key: str, label: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(label).alias("n_label"))
 
 
-def _key_stats(df: DataFrame, key: str, label: str) -> DataFrame:
-    # min <> max decides the conflict in one partial aggregation, whatever the group size.
-    stats = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(group_key(key).alias("_key"))
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.coalesce(F.min(label) != F.max(label), F.lit(False)).alias("_conflict"),
-        )
-        .filter(F.col("_conflict") | (F.col("_n") > HOT_ROWS))
-    )
-    # Read by two later steps, which would each read all texts again.
-    return cut_lineage(stats)
+def _keyed(df: DataFrame, key: str, row_id: str, *more: str) -> DataFrame:
+    """Ids with the hash of their key: what grouping needs, without the texts."""
+    return df.select(F.col(row_id).alias("_id"), group_key(key).alias("_key"), F.col(key).isNull().alias("_null"), *more)
+
+
+def _without(df: DataFrame, row_id: str, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Rows by a table of ids, written first so that its size decides how it is joined."""
+    listed = cut_lineage(ids.select(F.col("_id").alias("_listed")))
+    return df.join(listed, F.col(row_id) == F.col("_listed"), how)
 
 
 def label_conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -76,12 +72,10 @@ def conflict_free_rows(df: DataFrame, key: str, label: str, row_id: str) -> Data
 
 
 def _against_conflicts(df: DataFrame, key: str, label: str, row_id: str, how: str) -> DataFrame:
-    stats = _key_stats(df, key, label)
-    conflicts = stats.filter("_conflict").select("_key")
-    # Rows without a key match nothing; a key of their own keeps them from meeting in one task.
-    own = F.concat(F.lit("no key "), F.xxhash64(row_id).cast("string"))
-    rows = df.withColumn("_key", F.coalesce(F.sha2(F.col(key).cast("string"), 256), own))
-    return salted_join(rows, conflicts, stats, "_key", "_n", how, F.col(row_id)).drop("_key")
+    # min <> max decides the conflict in one partial aggregation, whatever the group size
+    rows = _keyed(df, key, row_id, F.col(label).alias("_label")).where("not _null")
+    conflicts = rows.groupBy("_key").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).where("_low <> _high")
+    return _without(df, row_id, rows.join(conflicts, "_key", "left_semi"), how)
 
 
 def duplicate_count(df: DataFrame, column: str) -> DataFrame:
@@ -97,15 +91,11 @@ def duplicate_count(df: DataFrame, column: str) -> DataFrame:
 def keep_first(df: DataFrame, key: str, row_id: str) -> DataFrame:
     """First row, by unique ``row_id``, of each distinct key; null keys form one group.
 
-    Only hash and id meet in the aggregation, so copies of one text collapse before the shuffle
-    and no task holds a group. Survivors are fetched by their unique id, which cannot be skewed.
+    Only hashes and ids are grouped and joined; the ids of the copies, not the texts, are listed.
     """
-    first = (
-        df.groupBy(group_key(key).alias("_key"))
-        .agg(F.min(row_id).alias(row_id))
-        .select(row_id)
-    )
-    return df.join(first, row_id, "left_semi")
+    rows = _keyed(df, key, row_id)
+    first = rows.groupBy("_key").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return _without(df, row_id, rows.join(first, "_key").where("_id <> _first"))
 
 
 def keep_first_consistent(df: DataFrame, key: str, label: str, row_id: str) -> DataFrame:
@@ -113,30 +103,25 @@ def keep_first_consistent(df: DataFrame, key: str, label: str, row_id: str) -> D
 
     Equals ``conflict_free_rows`` followed by ``keep_first`` with one aggregation for both.
     """
-    first = (
-        df.groupBy(group_key(key).alias("_key"))
+    rows = _keyed(df, key, row_id, F.col(label).alias("_label"))
+    groups = (
+        rows.groupBy("_key")
         .agg(
-            F.min(row_id).alias(row_id),
-            F.min(label).alias("_low"),
-            F.max(label).alias("_high"),
-            F.count(key).alias("_n"),
+            F.min("_id").alias("_first"),
+            F.coalesce(F.min("_label") != F.max("_label"), F.lit(False)).alias("_conflict"),
+            F.count(F.lit(1)).alias("_n"),
         )
-        .filter((F.col("_n") == 0) | F.coalesce(F.col("_low") == F.col("_high"), F.lit(True)))
-        .select(row_id)
+        .where("_n > 1")
     )
-    return df.join(first, row_id, "left_semi")
+    dropped = rows.join(groups, "_key").where("_id <> _first or (_conflict and not _null)")
+    return _without(df, row_id, dropped)
 
 
 def duplicate_rows(df: DataFrame, key: str, row_id: str) -> DataFrame:
     """Every row whose key occurs more than once; nulls equal each other."""
-    repeated = cut_lineage(
-        df.groupBy(group_key(key).alias("_key"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > 1)
-    )
-    rows = df.withColumn("_key", group_key(key))
-    keys = repeated.select("_key")
-    return salted_join(rows, keys, repeated, "_key", "_n", "left_semi", F.col(row_id)).drop("_key")
+    rows = _keyed(df, key, row_id)
+    repeated = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return _without(df, row_id, rows.join(repeated, "_key", "left_semi"), "left_semi")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from wicara.functions.columns import bind, words
-from wicara.operators.skew import salted_join, sampled_sizes
+from wicara.functions.columns import words
 from wicara.session import cut_lineage
 
-# Dictionaries up to this many entries and characters are sent to every executor.
-BROADCAST_STEMS = 200_000
-BROADCAST_CHARACTERS = 16 * 1024 * 1024
-
 
 def distinct_tokens(df: DataFrame, text: str) -> DataFrame:
     """Distinct words of all texts, the input of a stemmer."""
@@ -34,54 +29,29 @@ def build_dictionary(tokens: DataFrame, stemmer: Callable[[str], str]) -> DataFr
 
 
 def stem_by_dictionary(
-    df: DataFrame,
-    text: str,
-    row_id: str,
-    dictionary: DataFrame,
-    out: str = "text_processed",
-    broadcast_limit: int = BROADCAST_STEMS,
-) -> DataFrame:
-    """Replace each word by its stem; words without an entry stay as they are."""
-    # Measured first and read again later; building it may take a pass over all texts.
-    entries = cut_lineage(dictionary.select("token", "stem").filter(F.col("token") != F.col("stem")))
-    length = F.length("token") + F.length("stem")
-    size = entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("chars")).first()
-    if size["n"] <= broadcast_limit and size["chars"] <= BROADCAST_CHARACTERS:
-        return _stem_in_rows(df, text, {row["token"]: row["stem"] for row in entries.collect()}, out)
-    return _stem_by_join(df, text, row_id, entries, out)
-
-
-def _stem_in_rows(df: DataFrame, text: str, stems: dict[str, str], out: str) -> DataFrame:
-    # The alternative, exploding all words and grouping them back, shuffles the whole corpus.
-    shared = df.sparkSession.sparkContext.broadcast(stems)
-
-    @pandas_udf("string")
-    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lookup = shared.value
-        for batch in batches:
-            yield batch.map(lambda t: " ".join([lookup.get(w, w) for w in (t or "").split(" ") if w]))
-
-    return df.withColumn(out, replace(text))
-
-
-def _stem_by_join(
-    df: DataFrame, text: str, row_id: str, entries: DataFrame, out: str
+    df: DataFrame, text: str, row_id: str, dictionary: DataFrame, out: str = "text_processed"
 ) -> DataFrame:
-    # Each row sends its distinct words once; only words with a stem come back.
-    def distinct_words(rows: DataFrame) -> DataFrame:
-        tokens = bind(rows.select(row_id, text), "_words", F.array_distinct(words(text)))
-        return tokens.select(row_id, F.explode("_words").alias("token"))
-
-    counts = sampled_sizes(df, distinct_words, "token", "_n")
-    found = salted_join(
-        distinct_words(df), entries, counts, "token", "_n", "inner", F.col(row_id)
-    )
-    per_row = found.groupBy(row_id).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "stem"))).alias("_stems")
-    )
-    stemmed = F.transform(
-        words(text), lambda w: F.coalesce(F.try_element_at(F.col("_stems"), w), w)
+    """Replace each word by its stem; words without an entry stay as they are.
+
+    Words meet the dictionary in a join; only those with a stem return to their row, with their
+    place, and are set between the runs of words that stay.
+    """
+    entries = dictionary.select("token", "stem").filter(F.col("token") != F.col("stem"))
+    placed = df.select(row_id, F.posexplode(words(text)).alias("place", "token")).join(entries, "token")
+    per_row = cut_lineage(
+        placed.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("place", "stem"))).alias("_stems"))
     )
-    return (
-        df.join(per_row, row_id, "left").withColumn(out, F.array_join(stemmed, " ")).drop("_stems")
+    whole = df.join(per_row, row_id, "left").withColumn("_words", words(text))
+    ends = F.transform("_stems", lambda s: s["place"])
+    before = F.concat(F.array(F.lit(-1)), F.slice(ends, 1, F.size(ends) - 1))
+    runs = F.zip_with(
+        "_stems",
+        before,
+        lambda s, last: F.concat(F.slice("_words", last + 2, s["place"] - last - 1), F.array(s["stem"])),
     )
+    last = F.element_at(ends, -1)
+    rest = F.slice("_words", last + 2, F.size("_words"))
+    changed = F.concat(F.flatten(runs), rest)
+    return whole.withColumn(
+        out, F.array_join(F.when(F.size("_stems") > 0, changed).otherwise(F.col("_words")), " ")
+    ).drop("_stems", "_words")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from wicara.functions.text import (
     slang_normalize,
 )
 from wicara.functions.wordlists import SLANG_MAP
-from wicara.operators.labels import multi_hot
+from wicara.operators.labels import fit_labels, multi_hot
 from wicara.operators.quality import conflict_rows, drop_blank, drop_spam, keep_first_consistent
 from wicara.operators.stemming import stem_by_dictionary
 from wicara.schemas import require_columns
@@ -60,16 +60,23 @@ def derive_columns(
     return derived.withColumn("topic_list", split_topics(topic)) if topic else derived
 
 
+def topic_encoder(df: DataFrame, topic: str = "topic") -> list[str]:
+    """The fitted topic encoder: all topics of a table, in the order of their indicator columns."""
+    return fit_labels(df.select(split_topics(topic).alias("topics")), "topics")
+
+
 def process_text(
     df: DataFrame,
     row_id: str,
     stopwords: Iterable[str] | None = None,
     stems: DataFrame | None = None,
-    encode_topic: bool = False,
+    encode_topic: bool | Sequence[str] = False,
 ) -> DataFrame:
     """Append ``text_processed`` and, on request, the topic indicators.
 
     Stop-word removal and stemming are skipped where their word list or dictionary is not given.
+    ``encode_topic`` may be the labels of an earlier table (``topic_encoder``): new data then gets
+    the same columns.
     """
     require_columns(df, "text_clean")
     processed = F.coalesce("text_clean", F.lit(""))
@@ -80,7 +87,8 @@ def process_text(
         result = stem_by_dictionary(result, "text_processed", row_id, stems)
     if encode_topic:
         require_columns(df, "topic")
-        result = multi_hot(result.withColumn("topic_list", split_topics("topic")), "topic_list")
+        known = None if encode_topic is True else list(encode_topic)
+        result = multi_hot(result.withColumn("topic_list", split_topics("topic")), "topic_list", known)
     return result
 
 
@@ -89,7 +97,7 @@ def preprocess(
     row_id: str,
     stopwords: Iterable[str] | None = None,
     stems: DataFrame | None = None,
-    encode_topic: bool = False,
+    encode_topic: bool | Sequence[str] = False,
     slang: Mapping[str, str] = SLANG_MAP,
 ) -> DataFrame:
     """All steps; rows that clean to nothing leave before the text is processed further."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,11 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files.
+    """Write ``df`` as Parquet to the configured shared folder and continue from the files.
 
-    The copy survives the loss of executors and freezes row-to-fold assignments between fits.
+    The copy survives the loss of executors, keeps sizes known to the planner and is removed when
+    the application ends. Without a configured folder the plan is simply computed again.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        return df
+    path = f"{configured.rstrip('/')}/wicara-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    remove_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system drop ``path`` when the application ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)

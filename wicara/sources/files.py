@@ -9,17 +9,10 @@ from pyspark.sql import types as T
 from wicara.schemas import ANNOTATORS, COMMENTS, LEXICON_ENTRY, NUMBER_ENTRY
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy work per row when the input has fewer partitions than cores.
-
-    A large input already has more partitions and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def read_table(spark: SparkSession, folder: str, name: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table; ``partitions`` deals a small one to so many tasks, for heavy work per row."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    return table.repartition(partitions) if partitions else table
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = COMMENTS) -> DataFrame:
@@ -47,15 +40,12 @@ def read_annotators(spark: SparkSession, path: str) -> DataFrame:
 def is_json_object(line: Column | str) -> Column:
     """True where the line is exactly one JSON object."""
     value = F.col(line) if isinstance(line, str) else line
-    # Inside brackets, trailing content becomes a syntax error or a second element.
-    parsed = F.from_json(
-        F.concat(F.lit("["), value, F.lit("]")),
-        "array<map<string,string>>",
-        {"allowSingleQuotes": "false"},
-    )
-    return F.coalesce((F.size(parsed) == 1) & parsed.getItem(0).isNotNull(), F.lit(False)) & (
-        F.coalesce(F.ltrim(value).startswith("{"), F.lit(False))
-    )
+    strict = {"allowSingleQuotes": "false"}
+    # Content after the object breaks one of the two frames, whichever bracket it closes first.
+    listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<map<string,string>>", strict)
+    framed = F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "map<string,string>", strict)
+    whole = (F.size(listed) == 1) & listed.getItem(0).isNotNull() & framed.isNotNull() & (F.size(framed) == 1)
+    return F.coalesce(whole & value.rlike(r"\A[ \t\r\n]*\{"), F.lit(False))
 
 
 def json_validity(lines: DataFrame, column: str = "value") -> DataFrame:

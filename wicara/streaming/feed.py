@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wicara.functions.rules import join_expressions, join_patterns, meter_label, toxicity_meter
 from wicara.functions.wordlists import FEED_HASHTAGS, FEED_LANG, GAMBLING_TERMS
-from wicara.operators.lexicon import Expressions, lexicon_rule
+from wicara.operators.lexicon import Lexicon, lexicon_rule
 from wicara.operators.promo import promo_label, with_promotions
 from wicara.plans.scoring import apply_models
 from wicara.plans.training import TrainedModels
@@ -38,7 +38,8 @@ def read_feed(
 
 def score_feed(
     posts: DataFrame,
-    expressions: Expressions,
+    lexicon: DataFrame | Lexicon,
+    row_id: str,
     tags: Iterable[str] = FEED_HASHTAGS,
     lang: str = FEED_LANG,
     terms: Iterable[str] = GAMBLING_TERMS,
@@ -47,14 +48,18 @@ def score_feed(
 ) -> DataFrame:
     """Selected posts with lexicon, meter and promotion outcome; the same for batch and stream.
 
-    Every step works on one row, so no state, watermark or late-data rule is involved.
+    With a lexicon small enough for the row every step works on one row, so no state, watermark or
+    late-data rule is involved. A larger one is joined: score its stream with ``write_batches``.
     """
+    lexicon = Lexicon.of(lexicon)
+    if posts.isStreaming and not lexicon.small:
+        raise ValueError("a lexicon this large is joined: use write_batches")
     selected = select_posts(posts, tags, lang, hashtags)
     columns = selected.columns
     if models is not None:
-        selected = apply_models(selected, models, "text")
+        selected = apply_models(selected, models, "text", row_id)
         columns = columns + ["mood", "sentiment", "final_prediction", "confidence", "rule_review"]
-    ruled = with_promotions(lexicon_rule(selected, "text", expressions), "text", terms)
+    ruled = with_promotions(lexicon_rule(selected, "text", lexicon, row_id), "text", terms)
     scored = ruled.withColumn("meter", toxicity_meter("text"))
     return scored.select(
         *columns,
@@ -76,3 +81,22 @@ def write_feed(scored: DataFrame, output: str, checkpoint: str, once: bool = Fal
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def write_batches(
+    posts: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    output: str,
+    checkpoint: str,
+    once: bool = False,
+) -> StreamingQuery:
+    """Score each micro-batch as a batch, for example with a lexicon that has to be joined.
+
+    A batch owns the folder of its number and replaces it when it is run again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    writer = posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
