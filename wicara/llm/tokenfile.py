@@ -18,6 +18,7 @@ an id are documents of their own, in text order. Columns other than id and text
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,13 +33,17 @@ from wicara.llm.common import Scratch, slices, split_words
 BLOCK = 2048
 RENEW = 128
 CHUNK = 4096 * BLOCK  # ids that start a new chunk
-SLOTS2, SLOTS1 = 1024, 512
+SLOTS2, SLOTS1 = 512, 256
 END_ID = 2
 LARGEST_ID = (1 << 16) - 2
-MAGIC = b"WTK1"
+MAGIC = b"WTK2"
 _HEAD = struct.Struct("<4sQQQII")  # magic, bytes after the head, documents, ids, block size, blocks
 _U = np.uint64
-_NONE = np.int64(((1 << 16) - 1) << 2)
+_NONE = np.int32(((1 << 16) - 1) << 2)
+# The range coder keeps 48 bits, writes 16 at a time and never codes with a range below 32 bits.
+_WORD, _TOP, _MASK, _FLOOR = _U(16), _U(48), _U((1 << 48) - 1), _U(1 << 32)
+_PLAIN_BITS = np.array([0, 0, 8, 16], np.uint64)  # what follows each outcome: nothing, low byte, id
+_PLAIN_MASK = np.array([0, 0, 255, 65535], np.int64)
 
 
 class Model:
@@ -50,23 +55,24 @@ class Model:
         self.table2 = np.full(lanes * SLOTS2, _NONE, np.int32)
         self.table1 = np.full(lanes * SLOTS1, _NONE, np.int32)
         self.recent = np.full(lanes * 256, 256, np.int16)
-        self.counts = np.zeros((lanes * 16, 4), np.int32)
+        self.counts = np.zeros(lanes * 64, np.int32)
         self.credit = np.full((lanes, 4), 16, np.int64)
         self.last1 = np.zeros(lanes, np.int64)
         self.last2 = np.zeros(lanes, np.int64)
-        self.seen = np.zeros((lanes * 16, 4), np.int32)
+        self.seen = np.zeros(lanes * 64, np.int32)
         self.chances = np.full((4, lanes, 16, 4), 1024, np.int64)
         self.bounds = np.empty(lanes * 16, np.uint64)
         self.renew(lanes)
 
     def renew(self, lanes: int) -> None:
         """Credit each order for the outcomes since the last renewal and mix the chances anew."""
-        counts = self.counts[: lanes * 16].reshape(lanes, 4, 4, 4).astype(np.int64)
-        fresh = (self.counts[: lanes * 16] - self.seen[: lanes * 16]).reshape(lanes, 16, 4)
+        size = lanes * 64
+        counts = self.counts[:size].reshape(lanes, 4, 4, 4).astype(np.int64)
+        fresh = (self.counts[:size] - self.seen[:size]).reshape(lanes, 16, 4)
         for order in range(4):
             gain = (fresh * self.chances[order, :lanes]).sum(axis=(1, 2)) >> 6
             self.credit[:lanes, order] = (self.credit[:lanes, order] >> 1) + gain + 16
-        self.seen[: lanes * 16] = self.counts[: lanes * 16]
+        self.seen[:size] = self.counts[:size]
         both = counts.sum(axis=(1, 2), keepdims=True)
         views = (counts, counts.sum(axis=2, keepdims=True), counts.sum(axis=1, keepdims=True), both)
         mixed = np.zeros((lanes, 16, 4), np.int64)
@@ -81,20 +87,21 @@ class Model:
         self.bounds[: lanes * 16] = packed.reshape(-1).astype(np.uint64)
 
     def predict(self, lanes: int):
-        """Slots, entries and packed bounds for the next id of the first ``lanes`` blocks."""
-        one = self.last1[:lanes]
-        at2 = self.base2[:lanes] + (((one * 40503 + self.last2[:lanes] * 60493) >> 5) & (SLOTS2 - 1))
-        at1 = self.base1[:lanes] + (((one * 40503) >> 7) & (SLOTS1 - 1))
+        """Slots, entries and contexts for the next id of the first ``lanes`` blocks."""
+        one = self.last1[:lanes] * 40503
+        at2 = self.base2[:lanes] + (((one + self.last2[:lanes] * 60493) >> 5) & (SLOTS2 - 1))
+        at1 = self.base1[:lanes] + ((one >> 7) & (SLOTS1 - 1))
         entry2, entry1 = self.table2[at2], self.table1[at1]
         context = self.base[:lanes] + ((entry2 & 3) << 2 | entry1 & 3)
         return at2, at1, entry2, entry1, context
 
     def update(self, lanes: int, ids: np.ndarray, outcome: np.ndarray, at2, at1, entry2, entry1, context, at0) -> None:
-        self.counts[context, outcome] += 1
+        self.counts[context * 4 + outcome] += 1
+        placed = (ids << 2).astype(np.int32)
         for table, at, entry in ((self.table2, at2, entry2), (self.table1, at1, entry1)):
             sure = entry & 3
-            hit = entry >> 2 == ids
-            table[at] = np.where(hit, entry + (sure < 3), np.where(sure > 0, entry - 1, ids << 2))
+            miss = np.where(sure == 0, placed, entry - 1)
+            table[at] = np.where(entry - sure == placed, entry + (sure != 3), miss)
         self.recent[at0] = ids >> 8
         self.last2[:lanes] = self.last1[:lanes]
         self.last1[:lanes] = ids
@@ -103,60 +110,50 @@ class Model:
 def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words of all blocks in turn, words of each block) of a flat array of ids."""
     count = -(-len(ids) // BLOCK)
-    grid = np.zeros((BLOCK, count), np.int64)  # one row per step
     full = len(ids) // BLOCK
-    grid[:, :full] = ids[: full * BLOCK].reshape(full, BLOCK).T
     rest = len(ids) - full * BLOCK
+    grid = np.zeros((BLOCK, count), np.uint16)  # one row per step
+    grid[:, :full] = ids[: full * BLOCK].reshape(full, BLOCK).T
     grid[:rest, full:] = ids[full * BLOCK :, None]
     model = Model(count)
-    low, size = np.zeros(count, np.uint64), np.full(count, (1 << 32) - 1, np.uint64)
+    low, size = np.zeros(count, np.uint64), np.full(count, _MASK, np.uint64)
     out, end = np.zeros((count, BLOCK * 2 + 8), np.uint16), np.zeros(count, np.int64)
-    every = np.arange(count)
-
-    def settle(lanes: np.ndarray) -> None:
-        """Carry into the words written and shift out the settled half of ``low``."""
-        over = lanes[low[lanes] >> _U(32) > 0]
-        if len(over):
-            low[over] &= _U(0xFFFFFFFF)
-            place = end[over] - 1
-            while len(over):
-                out[over, place] += np.uint16(1)
-                again = out[over, place] == 0
-                over, place = over[again], place[again] - 1
-        small = lanes[size[lanes] < _U(1 << 16)]
-        if len(small):
-            out[small, end[small]] = (low[small] >> _U(16)).astype(np.uint16)
-            end[small] += 1
-            low[small] = (low[small] << _U(16)) & _U(0xFFFFFFFF)
-            size[small] <<= _U(16)
 
     for step in range(BLOCK if full else rest):
         lanes = count if step < rest or not rest else full
-        x, own = grid[step, :lanes], every[:lanes]
+        x = grid[step, :lanes].astype(np.int64)
         at2, at1, entry2, entry1, context = model.predict(lanes)
-        high = x >> 8
         at0 = model.base0[:lanes] + (x & 255)
-        outcome = np.where(model.recent[at0] == high, 2, 3)
+        outcome = 3 - (model.recent[at0] == x >> 8)
         outcome = np.where(entry1 >> 2 == x, 1, outcome)
         outcome = np.where(entry2 >> 2 == x, 0, outcome)
         bounds, shift = model.bounds[context], (outcome * 13).astype(np.uint64)
         start = (bounds >> shift) & _U(8191)
         stop = np.where(outcome == 3, _U(4096), (bounds >> (shift + _U(13))) & _U(8191))
         part = size[:lanes] >> _U(12)
-        low[:lanes] += part * start
-        size[:lanes] = part * (stop - start)
-        settle(own)
-        plain = own[outcome >= 2]
-        if len(plain):
-            whole = outcome[plain] == 3
-            part = size[plain] >> np.where(whole, _U(16), _U(8))
-            low[plain] += part * np.where(whole, x[plain], x[plain] & 255).astype(np.uint64)
-            size[plain] = part
-            settle(plain)
+        plain = (part * (stop - start)) >> _PLAIN_BITS[outcome]
+        low[:lanes] += part * start + plain * (x & _PLAIN_MASK[outcome]).astype(np.uint64)
+        size[:lanes] = plain
+        over = np.flatnonzero(low[:lanes] >> _TOP)  # carry into the words written
+        if len(over):
+            low[over] &= _MASK
+            place = end[over] - 1
+            while len(over):
+                out[over, place] += np.uint16(1)
+                again = out[over, place] == 0
+                over, place = over[again], place[again] - 1
+        small = np.flatnonzero(size[:lanes] < _FLOOR)
+        while len(small):
+            out[small, end[small]] = (low[small] >> _U(32)).astype(np.uint16)
+            end[small] += 1
+            low[small] = (low[small] << _WORD) & _MASK
+            size[small] <<= _WORD
+            small = small[size[small] < _FLOOR]
         model.update(lanes, x, outcome, at2, at1, entry2, entry1, context, at0)
         if step % RENEW == RENEW - 1:
             model.renew(lanes)
-    for shift in (16, 0):
+    every = np.arange(count)
+    for shift in (32, 16, 0):
         out[every, end] = ((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
         end += 1
     return out[np.arange(out.shape[1])[None, :] < end[:, None]], end
@@ -169,49 +166,43 @@ def decode_blocks(words: np.ndarray, sizes: np.ndarray, total: int) -> np.ndarra
     grid = np.zeros((BLOCK, count), np.uint16)
     model = Model(count)
     next_word = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    words = np.concatenate([words, np.zeros(2, np.uint16)]).astype(np.uint64)
-    code = words[next_word] << _U(16) | words[next_word + 1]
-    next_word += 2
-    size = np.full(count, (1 << 32) - 1, np.uint64)
-    every = np.arange(count)
-
-    def settle(lanes: np.ndarray) -> None:
-        small = lanes[size[lanes] < _U(1 << 16)]
-        if len(small):
-            code[small] = code[small] << _U(16) | words[np.minimum(next_word[small], len(words) - 1)]
-            size[small] <<= _U(16)
-            next_word[small] += 1
+    words = np.concatenate([words, np.zeros(3, np.uint16)])
+    code = np.zeros(count, np.uint64)
+    for _ in range(3 if count else 0):
+        code = code << _WORD | words[next_word]
+        next_word += 1
+    size = np.full(count, _MASK, np.uint64)
 
     for step in range(BLOCK if full else rest):
         lanes = count if step < rest or not rest else full
-        own = every[:lanes]
         at2, at1, entry2, entry1, context = model.predict(lanes)
         bounds = model.bounds[context]
-        part = size[:lanes] >> _U(12)
-        value = code[:lanes] // part
+        part, now = size[:lanes] >> _U(12), code[:lanes]
         outcome = np.zeros(lanes, np.int64)
         for k in (13, 26, 39):
-            outcome += value >= ((bounds >> _U(k)) & _U(8191))
+            outcome += now >= part * ((bounds >> _U(k)) & _U(8191))
         shift = (outcome * 13).astype(np.uint64)
         start = (bounds >> shift) & _U(8191)
         stop = np.where(outcome == 3, _U(4096), (bounds >> (shift + _U(13))) & _U(8191))
-        code[:lanes] -= part * start
-        size[:lanes] = part * (stop - start)
-        settle(own)
+        now -= part * start
+        plain = (part * (stop - start)) >> _PLAIN_BITS[outcome]
         x = np.where(outcome == 0, entry2 >> 2, entry1 >> 2).astype(np.int64)
-        plain = own[outcome >= 2]
-        if len(plain):
-            whole = outcome[plain] == 3
-            bits = np.where(whole, _U(16), _U(8))
-            part = size[plain] >> bits
-            value = code[plain] // part
-            code[plain] -= part * value
-            size[plain] = part
-            settle(plain)
+        spelled = np.flatnonzero(outcome >= 2)
+        if len(spelled):
+            step_size = plain[spelled]
+            value = now[spelled] // step_size
+            now[spelled] -= step_size * value
             value = value.astype(np.int64)
             low_byte = value & 255
-            known = model.recent[model.base0[plain] + low_byte].astype(np.int64) << 8 | low_byte
-            x[plain] = np.where(whole, value, known)
+            known = model.recent[model.base0[spelled] + low_byte].astype(np.int64) << 8 | low_byte
+            x[spelled] = np.where(outcome[spelled] == 3, value, known)
+        size[:lanes] = plain
+        small = np.flatnonzero(plain < _FLOOR)
+        while len(small):
+            code[small] = code[small] << _WORD | words[next_word[small]]
+            size[small] <<= _WORD
+            next_word[small] += 1
+            small = small[size[small] < _FLOOR]
         at0 = model.base0[:lanes] + (x & 255)
         model.update(lanes, x, outcome, at2, at1, entry2, entry1, context, at0)
         grid[step, :lanes] = x
@@ -286,47 +277,114 @@ def tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of words between white space, each distinct word tokenized once; the most frequent stay."""
+    """Ids of words between white space; each distinct word is tokenized once.
 
-    KEPT = 200_000
+    Words with a case or an end mark of their own share the tokens of the bare word. Unknown words
+    are tokenized many in one text, apart by a sign that is a token of its own. Beyond ``LIMIT``
+    words only those met more than once stay.
+    """
+
+    LIMIT = 500_000
+    TOGETHER = 4000
+    _APART = "\x00"
+    _LATER = re.compile("[\u0300-\U0010ffff]")  # beyond these, lower case and composition may interact
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.clear()
-
-    def clear(self) -> None:
+        self.apart = self.tokenizer.encode(self._APART, add_special_tokens=False).ids
         self.index: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint16)
-        self.ends = np.zeros(1, np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def lowered(self, text: str) -> str:
+        if "<|" in text or not (text.isascii() or not self._LATER.search(text)):
+            return text
+        return text.lower()
+
+    def _tokenize(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, ids of each word)."""
+        ids, sizes = [], []
+        for first in range(0, len(words), self.TOGETHER):
+            part = words[first : first + self.TOGETHER]
+            joined = f" {self._APART} ".join(part)
+            found = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.uint16)
+            cuts = np.flatnonzero(found == self.apart[0]) if len(self.apart) == 1 else np.zeros(0, np.int64)
+            if len(cuts) == len(part) - 1 and "<|" not in joined:
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(found)]])) - 1)
+                ids.append(np.delete(found, cuts))
+            else:  # a word holds the sign itself, or special tokens
+                alone = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+                ids.append(np.fromiter((i for a in alone for i in a), np.uint16, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, words: list[str]) -> None:
+        bare = {w: w[:-1] if w[-1] in ".,;:!?" and w[:-1].isalpha() else w for w in words}
+        ends = {w[-1] for w, b in bare.items() if len(b) < len(w)}
+        unknown = list((set(bare.values()) | ends) - self.index.keys())
+        if unknown:
+            ids, sizes = self._tokenize(unknown)
+            first = len(self.index)
+            self.index.update(zip(unknown, range(first, first + len(unknown)), strict=True))
+            self._append(ids, sizes)
+        marked = [w for w, b in bare.items() if len(b) < len(w) and w not in self.index]
+        if marked:
+            body = np.fromiter((self.index[w[:-1]] for w in marked), np.int64, len(marked))
+            mark = np.fromiter((self.index[w[-1]] for w in marked), np.int64, len(marked))
+            both = np.stack([body, mark], axis=1).reshape(-1)
+            ids, sizes = self._gather(both), self.sizes[body] + self.sizes[mark]
+            first = len(self.index)
+            self.index.update(zip(marked, range(first, first + len(marked)), strict=True))
+            self._append(ids, sizes)
+
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(sizes), np.int64)])
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[at]
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(self.starts[at] - before, sizes) + np.arange(int(sizes.sum()))]
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.met > 1)
+        chosen = set(kept.tolist())
+        words = [w for w, i in self.index.items() if i in chosen]
+        old = np.fromiter((self.index[w] for w in words), np.int64, len(words))
+        ids, sizes, met = self._gather(old), self.sizes[old], self.met[old] // 2
+        self.index = dict(zip(words, range(len(words)), strict=True))
+        self.ids, self.sizes, self.starts, self.met = ids, sizes, np.cumsum(sizes) - sizes, met
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [[w for part in slices(t or "", 4_000_000) for w in split_words(part)] for t in texts]
-        fresh = list(set().union(*words) - self.index.keys())
-        if len(self.index) + len(fresh) > 3 * self.KEPT:
-            self.clear()
-            fresh = list(set().union(*words))
+        words = [[w for part in slices(t or "", 4_000_000) for w in split_words(self.lowered(part))] for t in texts]
+        fresh = set().union(*words) - self.index.keys()
+        if fresh and len(self.index) + len(fresh) > self.LIMIT:
+            self._forget()
+            fresh = set().union(*words) - self.index.keys()
         if fresh:
-            batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            found = [e.ids for e in batch(fresh, add_special_tokens=False)]
-            first = len(self.index)
-            self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint16, int(lengths.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        out, look = [], self.index.__getitem__
-        for row in words:
-            at = np.fromiter(map(look, row), np.int64, len(row))
-            starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
-            before = np.cumsum(sizes) - sizes
-            out.append(self.ids[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))])
-        return out
+            self._learn(list(fresh))
+        look = self.index.__getitem__
+        at = np.fromiter((i for row in words for i in map(look, row)), np.int64, sum(map(len, words)))
+        self.met += np.bincount(at, minlength=len(self.met))
+        ids, sizes = self._gather(at), self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, words)])]
+        return [ids[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+_KNOWN: dict[str, WordIds] = {}
 
 
 def _write_chunks(path: str, end_id: int):
     def run(batches):
         import pyarrow as pa
 
-        words, keys, parts, held = WordIds(path), [], [], 0
+        if path not in _KNOWN:
+            _KNOWN[path] = WordIds(path)
+        words, keys, parts, held = _KNOWN[path], [], [], 0
 
         def chunk():
             ids = np.concatenate(parts)
