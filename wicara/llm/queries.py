@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from wicara.llm import bpe, chat, decontaminate, embed, langid, minhash, pii, rollup, tokenfile, warc
 from wicara.llm.common import Scratch, table
+from wicara.llm.hashing import SHINGLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +27,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_nn_descent_near_dedup")
+REACH_SQL = """
+reach(u, v) as (select u, v from links union select r.u, l.v from reach r join links l on r.v = l.u),
+parts as (select u, min(v) as low from reach group by u)
+"""
+EMBED_SQL = f"""
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e
+  from embeddings where vec_id is not null and label is not null),
+links as (select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+{REACH_SQL},
+degrees as (select u, count(*) as n from links group by u)
+select t.vec_id, coalesce(d.n, 0) as n_links, least(t.vec_id, coalesce(p.low, t.vec_id)) as component_id,
+  t.vec_id <= coalesce(p.low, t.vec_id) as kept
+from embeddings t left join degrees d on t.vec_id = d.u left join parts p on t.vec_id = p.u
+"""
+
+
+@query("op1_nn_descent_near_dedup", EMBED_SQL)
 def nn_descent_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = embed.near_duplicates(table(spark, folder, "embeddings"))
     return found
@@ -125,7 +143,23 @@ def context_mixing_token_files(spark: SparkSession, folder: str) -> DataFrame:
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
-@query("op9_prefix_target_chat")
+_ESCAPED = r"regexp_replace(body, '<(\\*)\|', '<\1\\|', 'g')"
+CHAT_SQL = rf"""
+with t as (select conv_id, turn, role, coalesce(text, '') as body from conversations
+  union all select -1, i, case i when 0 then 'user' else 'assistant' end, '{CONTROL_TEXT}' from range(2) r(i)),
+s as (select *, length(role) + length({_ESCAPED}) + {len(chat.START + chat.END) + 1} as size from t),
+p as (select *, sum(size) over (partition by conv_id order by turn, role, body rows unbounded preceding) as upto from s)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || body || chr(10), '' order by turn, role, body)) as turns_sha256,
+  cast(coalesce(sum(length(body)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(body, '' order by turn, role, body) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(size) as bigint) as formatted_chars, count(*) filter (where role = 'assistant') as n_examples,
+  cast(coalesce(sum(upto) filter (where role = 'assistant'), 0) as bigint) as example_chars
+from p group by conv_id
+"""
+
+
+@query("op9_prefix_target_chat", CHAT_SQL)
 def prefix_target_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).selectExpr(
@@ -136,7 +170,25 @@ def prefix_target_chat(spark: SparkSession, folder: str) -> DataFrame:
     return scratch.finish(chat.conversation_digests(formatted, targets))
 
 
-@query("op10_minhash_near_dedup")
+MINHASH_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, case when len(ws) >= {SHINGLE} then list_transform(range(1, len(ws) - {SHINGLE - 2}),
+  lambda i: array_to_string(ws[i : i + {SHINGLE - 1}], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')]
+  else [] end as gs from w),
+s as (select distinct doc_id, unnest(gs) as shingle from g),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as u, b.doc_id as v, count(*) as i from s a join s b on a.shingle = b.shingle
+  and a.doc_id <> b.doc_id group by 1, 2),
+links as (select u, v from common join n x on x.doc_id = u join n y on y.doc_id = v where 100 * i >= 75 * (x.n + y.n - i)),
+{REACH_SQL}
+select g.doc_id, coalesce(n.n, 0) as n_shingles, least(g.doc_id, coalesce(p.low, g.doc_id)) as component_id,
+  g.doc_id <= coalesce(p.low, g.doc_id) as kept
+from g left join n on n.doc_id = g.doc_id left join parts p on p.u = g.doc_id
+"""
+
+
+@query("op10_minhash_near_dedup", MINHASH_SQL)
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
