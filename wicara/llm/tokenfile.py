@@ -18,6 +18,7 @@ an id are documents of their own, in text order. Columns other than id and text
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import zlib
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wicara.llm.common import Scratch, slices, split_words
+from wicara.llm.common import Scratch, lean, slices, split_words
 
 BLOCK = 2048
-RENEW = 128
+RENEW = 256
 CHUNK = 4096 * BLOCK  # ids that start a new chunk
 SLOTS2, SLOTS1 = 512, 256
 END_ID = 2
@@ -284,7 +285,7 @@ class WordIds:
     words only those met more than once stay.
     """
 
-    LIMIT = 500_000
+    LIMIT = 300_000
     TOGETHER = 4000
     _APART = "\x00"
     _LATER = re.compile("[\u0300-\U0010ffff]")  # beyond these, lower case and composition may interact
@@ -367,8 +368,8 @@ class WordIds:
             fresh = set().union(*words) - self.index.keys()
         if fresh:
             self._learn(list(fresh))
-        look = self.index.__getitem__
-        at = np.fromiter((i for row in words for i in map(look, row)), np.int64, sum(map(len, words)))
+        every = itertools.chain.from_iterable(words)
+        at = np.fromiter(map(self.index.__getitem__, every), np.int64, sum(map(len, words)))
         self.met += np.bincount(at, minlength=len(self.met))
         ids, sizes = self._gather(at), self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, words)])]
@@ -379,6 +380,7 @@ _KNOWN: dict[str, WordIds] = {}
 
 
 def _write_chunks(path: str, end_id: int):
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -415,6 +417,7 @@ def write_token_files(docs: DataFrame, vocab: str, path: str, doc_id: str = "doc
     chunks.select(F.col("value").cast("string")).write.mode("overwrite").text(path)
 
 
+@lean
 def _read_files(batches):
     import pyarrow as pa
 
