@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wicara.llm import bpe, decontaminate, langid, minhash, pii
 from wicara.llm.common import Scratch, table
 
-LEAST_SCORE = 0.4  # below it a text is in none of the learned languages
+LEAST_SCORE = 0.3  # below it a text is in none of the learned languages
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
