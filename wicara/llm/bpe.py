@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import sys
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from wicara.llm.common import slices, split_words
+from wicara.llm.common import lean, pieces, slices, small_batches, split_words
 
-SLICE = 12_000_000  # characters whose distinct words are encoded together
-KEPT = 150_000  # words a Python worker remembers between slices
+SLICE = 6_000_000  # characters whose distinct words are encoded together
+KEPT = 60_000  # words a Python worker remembers between slices
 NO_RANK = np.int64(1 << 40)
 
 
@@ -69,8 +70,8 @@ class WordBpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         letters = byte_letters()
-        self.inner = np.array([vocab[c] for c in letters], np.int64)
-        self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
+        self.inner = np.array([vocab[c] for c in letters], np.int32)
+        self.last = np.array([vocab[c + suffix] for c in letters], np.int32)
         pairs = {}
         for rank, (a, b) in enumerate(data["model"]["merges"]):
             pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
@@ -78,13 +79,17 @@ class WordBpe:
         self.keys = np.array([r[0] for r in rows], np.int64)
         self.ranks = np.array([r[1] for r in rows], np.int64)
         self.rules = {r[1]: r[2:] for r in rows}
-        self.pairs = pairs
         self.split = piece_pattern().findall
         strings = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
 
+    @functools.cached_property
+    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, new token) by pair, for merges sign by sign."""
+        return {(a, b): (rank, new) for rank, (new, a, b) in self.rules.items()}
+
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 20 | right
+        key = left.astype(np.int64) << 20 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
 
@@ -107,9 +112,9 @@ class WordBpe:
         final = ends[lengths > 0] - 1
         symbol[final] = self.last[data[final]]
         size = len(symbol)
-        after = np.arange(1, size + 1)
+        after = np.arange(1, size + 1, dtype=np.int32)
         after[final] = -1
-        before = np.arange(-1, size - 1)
+        before = np.arange(-1, size - 1, dtype=np.int32)
         before[0] = -1
         before[final[:-1] + 1] = -1
         index: dict[int, list[np.ndarray]] = {}
@@ -251,7 +256,7 @@ def encoded(batches, path: str, size: int = SLICE):
     kept = _WORDS.setdefault(path, {})
 
     def rows():
-        for batch in batches:
+        for batch in pieces(batches):
             yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
     def pack(done):
@@ -263,25 +268,27 @@ def encoded(batches, path: str, size: int = SLICE):
 
     state = None  # (key, tokens so far, hash of ids, hash of decoded text)
     for group in groups(rows(), size):
-        split = [split_words(part) for _, _, part in group]
-        fresh = set().union(*split) - kept.keys()
+        fresh: set[str] = set()
+        for _, _, part in group:  # split again below: the words of a slice are not held, only their kinds
+            fresh.update(split_words(part))
+        fresh -= kept.keys()
         own = dict(shown(bpe, list(fresh)))
-        if len(kept) < KEPT:
-            kept.update(list(own.items())[: KEPT - len(kept)])
-        look = own | kept if len(own) > len(kept) else kept | own
         done = []
-        for (key, first, _), words in zip(group, split, strict=True):
+        for key, first, part in group:
+            words = split_words(part)
             if first:
                 if state:
                     done.append((state[0], state[1], state[2].hexdigest(), state[3].hexdigest()))
                 state = [key, 0, hashlib.sha256(), hashlib.sha256()]
             if not words:
                 continue
-            found = [look[w] for w in words]
+            found = [kept.get(w) or own[w] for w in words]
             lead = " " if state[1] else ""
             state[2].update((lead + " ".join([f[0] for f in found])).encode())
             state[3].update((lead + " ".join([f[2] for f in found])).encode())
             state[1] += sum([f[1] for f in found])
+        if len(kept) < KEPT:
+            kept.update(itertools.islice(own.items(), KEPT - len(kept)))
         if done:
             yield pack(done)
     if state:
@@ -295,8 +302,9 @@ def encode_digests(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: st
     on every worker. Columns other than the two named are not read.
     """
     schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    small_batches(docs.sparkSession)
     narrow = docs.select(docs[doc_id].cast("long").alias("key"), docs[text].cast("string").alias("body"))
-    return narrow.mapInArrow(lambda batches: encoded(batches, vocab), schema).withColumnRenamed("key", doc_id)
+    return narrow.mapInArrow(lean(lambda batches: encoded(batches, vocab)), schema).withColumnRenamed("key", doc_id)
 
 
 def token_ids(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,7 +314,7 @@ def token_ids(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "
         import pyarrow as pa
 
         bpe = vocabulary(vocab)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [split_words(t or "") for t in batch.column(1).to_pylist()]
             words = list(set().union(*texts))
             look = dict(zip(words, bpe.encode_words(words), strict=True))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wicara.llm.common import Scratch
+from wicara.llm.common import Scratch, lean
 
 START, END, TARGET = "<|im_start|>", "<|im_end|>\n", "assistant"
 SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.DOTALL)
@@ -135,6 +135,7 @@ def write_examples(turns: DataFrame, scratch: Scratch, **names: str) -> tuple[Da
     return formatted, scratch.write(examples(formatted), "examples")
 
 
+@lean
 def _digests(batches):
     """Sorted segments to one row per conversation; digests grow turn by turn."""
     import pyarrow as pa

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Exchange whole texts with Python in batches of ``rows``, unless the session says otherwise.
+
+    The default of 10,000 rows is meant for short rows; with texts, every task would hold tens of
+    megabytes of them on both sides.
+    """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(rows))
+
+
 class Scratch:
     """Tables written to the shared folder of the session, each removed when no longer needed.
 
@@ -26,6 +41,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
@@ -71,3 +87,28 @@ def slices(text: str, size: int) -> Iterator[str]:
         yield text[start : found.start()]
         start = found.start()
     yield text[start:]
+
+
+def pieces(batches, rows: int = 512) -> Iterator:
+    """Arrow batches in parts of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def lean(run: Callable) -> Callable:
+    """Have a function over batches return its memory to the system when a task ends.
+
+    Python workers live on between tasks; without this their unused heap adds up on an executor.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        library = ctypes.CDLL(None)
+        if hasattr(library, "mallopt"):
+            library.mallopt(-3, 1 << 20)  # blocks above 1 MB are mapped, and unmapped when freed
+        yield from run(batches)
+        if hasattr(library, "malloc_trim"):
+            library.malloc_trim(0)
+
+    return wrapped

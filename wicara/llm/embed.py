@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wicara.llm.common import Scratch
+from wicara.llm.common import Scratch, lean
 from wicara.llm.graph import components, grouped, spanning
 
 COSINE = 0.98
@@ -47,6 +47,7 @@ def unit(vectors: list[bytes]) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+@lean
 def _usable(batches):
     """(key, embedding, label) to (key, group, vec) of the vectors that can be compared."""
     import pyarrow as pa
@@ -122,6 +123,7 @@ def _signer(first: int):
     return run
 
 
+@lean
 def _window_neighbours(batches):
     for _, rows in _windowed(batches):
         _, ids, vecs = zip(*rows, strict=True)
@@ -160,6 +162,7 @@ def _start(classes: DataFrame, first: int) -> DataFrame:
     return dealt.mapInArrow(_window_neighbours, "u long, v long, sim double")
 
 
+@lean
 def _local_join(batches):
     for _, rows in grouped(batches, 2):
         ids, floors, vecs = zip(*rows, strict=True)
@@ -212,6 +215,7 @@ def descend(
     return graph, links.unionByName(graph.where(F.col("sim") >= COSINE).select("u", "v"))
 
 
+@lean
 def _block_counts(batches):
     """Links of the members of one block with those of another: (rep, links), copies counted."""
     import pyarrow as pa

@@ -9,7 +9,7 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SHINGLE = 5
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _random = np.random.Generator(np.random.PCG64(20240901))
 LETTERS = _random.integers(0, 1 << 64, 256, np.uint64)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicara.llm.common import Scratch
+from wicara.llm.common import Scratch, lean, pieces
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -117,12 +117,13 @@ def ftrl_pass(rows: list[tuple[int, np.ndarray, np.ndarray]], z: np.ndarray, n:
         n[at] += g * g
 
 
+@lean
 def _frequencies(batches):
     """Partial document frequencies of a partition: (bucket, docs); bucket -1 counts the rows."""
     import pyarrow as pa
 
     total, rows = np.zeros(BUCKETS, np.int64), 0
-    for batch in batches:
+    for batch in pieces(batches):
         for text in batch.column(0).to_pylist():
             if has_letter(text):
                 seen = np.zeros(BUCKETS, bool)
@@ -136,11 +137,12 @@ def _frequencies(batches):
     )
 
 
+@lean
 def _features(batches):
     """(lang, shard, text) to (lang, shard, features, shares)."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in pieces(batches):
         langs, shards, at, shares = [], [], [], []
         for lang, shard, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if not has_letter(text):

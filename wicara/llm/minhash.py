@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicara.llm.common import Scratch
+from wicara.llm.common import Scratch, lean
 from wicara.llm.graph import components, grouped, spanning
 from wicara.llm.hashing import PLACES, mix, shingle_sets, text_slices
 
@@ -58,6 +58,7 @@ def sketches(sets: list[np.ndarray], size: int = COORDINATES) -> np.ndarray:
     return out
 
 
+@lean
 def _sketch_batches(batches):
     import pyarrow as pa
 
@@ -87,6 +88,7 @@ def _sketch_batches(batches):
             )
 
 
+@lean
 def _set_batches(batches):
     """(key, cluster, blocks, text) with the text's sorted shingle hashes in its place."""
     import pyarrow as pa
@@ -123,6 +125,7 @@ def _alike(a: list[int], b: list[int]) -> bool:
     return odd <= FARTHEST
 
 
+@lean
 def _bucket_edges(batches):
     """Members (key, bits) of a block pair of a bucket to edges that span those with alike sketches."""
     out = []
@@ -161,6 +164,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@lean
 def _cluster_links(batches):
     """Sets (key, members) of a block pair of a cluster to links that span those similar enough."""
     for _, rows in grouped(batches, 3):

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicara.llm.common import Scratch
+from wicara.llm.common import Scratch, lean, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS = 5  # distinct seeds a pattern needs
@@ -111,6 +111,7 @@ def shown(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+@lean
 def _scan(batches):
     """(key, text) to counts, fixed spans and the pattern occurrences of a row."""
     import pyarrow as pa
@@ -119,7 +120,7 @@ def _scan(batches):
     use = pa.list_(
         pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     )
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for text in batch.column(1).to_pylist():
             text = text or ""

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicara.llm.common import Scratch
+from wicara.llm.common import Scratch, lean
 
 REVISIT_BYTES = 1000
 FIRST_CAPTURE = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)  # plus one second per page id
@@ -147,6 +147,7 @@ def _packed(entries: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=ENTRY_COLUMNS)
 
 
+@lean
 def _runs(batches):
     """Archives (path, content) to their capture entries, each archive's sorted by key and time."""
     for batch in batches:
@@ -218,6 +219,7 @@ def loser_tree_merge(runs: list[Iterator], key) -> Iterator:
         winner = play(winner)
 
 
+@lean
 def _merge(batches):
     """The slices of the runs, as they arrive, to one ordered sequence."""
     slices: list[list[tuple]] = []
