@@ -41,15 +41,11 @@ HEADLINE = (
     "tfidf_weights",
     "vocabulary_coverage",
     "macro_metrics",
-    "mood_head",
-    "svm_scores",
     "feed_stream",
     "lexicon_rule_large",
-    "calibrated_confidence",
-    "trimodel_scores",
 )
-# Trained once: the queries that fit the most forests.
-HEAVY = ("oof_features",)
+# Run once: these fit models.
+HEAVY = ("mood_head", "svm_scores", "calibrated_confidence", "trimodel_scores")
 
 
 def run(spark, folder: str, name: str) -> float:
