@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 
 from wicara.llm.common import lean, pieces, slices, small_batches, split_words
 
-SLICE = 6_000_000  # characters whose distinct words are encoded together
+SLICE = 8_000_000  # characters whose distinct words are encoded together
 KEPT = 60_000  # words a Python worker remembers between slices
 NO_RANK = np.int64(1 << 40)
+END_MARKS = ".,;:!?"
+SLOTS = 1 << 18  # of the table of mergeable pairs
 
 
 def in_class(kind: str) -> str:
@@ -69,6 +71,7 @@ class WordBpe:
         self.tokens = [""] * (max(*vocab.values(), *self.special.values(), 0) + 1)
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
+        self.numerals = list(map(str, range(len(self.tokens))))
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + suffix] for c in letters], np.int32)
@@ -76,8 +79,13 @@ class WordBpe:
         for rank, (a, b) in enumerate(data["model"]["merges"]):
             pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         rows = sorted((a << 20 | b, rank, new, a, b) for (a, b), (rank, new) in pairs.items())
-        self.keys = np.array([r[0] for r in rows], np.int64)
-        self.ranks = np.array([r[1] for r in rows], np.int64)
+        # open addressing: a fifth of the slots hold a pair, so few lookups need a second one
+        self.slot_keys, self.slot_ranks = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int64)
+        keys = np.array([r[0] for r in rows], np.int64)
+        for key, rank, slot in zip(keys.tolist(), [r[1] for r in rows], self._slot(keys).tolist(), strict=True):
+            while self.slot_keys[slot] >= 0:
+                slot = (slot + 1) & (SLOTS - 1)
+            self.slot_keys[slot], self.slot_ranks[slot] = key, rank
         self.rules = {r[1]: r[2:] for r in rows}
         self.split = piece_pattern().findall
         strings = sorted(self.special, key=len, reverse=True)
@@ -90,8 +98,21 @@ class WordBpe:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 20 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
+        slot = self._slot(key)
+        found = self.slot_keys[slot]
+        ranks = np.where(found == key, self.slot_ranks[slot], NO_RANK)
+        open_at = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_at):
+            slot[open_at] = (slot[open_at] + 1) & (SLOTS - 1)
+            found = self.slot_keys[slot[open_at]]
+            hit = found == key[open_at]
+            ranks[open_at[hit]] = self.slot_ranks[slot[open_at[hit]]]
+            open_at = open_at[~hit & (found >= 0)]
+        return ranks
+
+    @staticmethod
+    def _slot(key):
+        return (key * 0x2545F4914F6CDD1D >> 40) & (SLOTS - 1)
 
     def pieces(self, word: str) -> list[str]:
         """Normalised parts of a run without white space."""
@@ -188,25 +209,29 @@ class WordBpe:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of runs without white space; strings of special tokens get their own ids."""
-        plan: list[list[str | int]] = []
         pieces: dict[str, int] = {}
+        number = pieces.setdefault
+        plan: list[tuple[int, ...]] = []  # numbers of pieces; specials as negative numbers
         for word in words:
-            parts = self.marks.split(word) if self.marks and "<|" in word else [word]
-            row: list[str | int] = []
-            for part in parts:
-                if part in self.special:
-                    row.append(self.special[part])
-                elif part:
-                    row += self.pieces(part)
-            for piece in row:
-                if isinstance(piece, str):
-                    pieces.setdefault(piece, len(pieces))
-            plan.append(row)
+            if "<|" in word and self.marks:
+                row: list[int] = []
+                for part in self.marks.split(word):
+                    if part in self.special:
+                        row.append(-1 - self.special[part])
+                    elif part:
+                        row += [number(p, len(pieces)) for p in self.pieces(part)]
+                plan.append(tuple(row))
+                continue
+            low = word.lower() if word.isascii() else ""
+            if low.isalpha():
+                plan.append((number(low, len(pieces)),))
+            elif low[:-1].isalpha() and low[-1] in END_MARKS:  # the common case of the split rule
+                plan.append((number(low[:-1], len(pieces)), number(low[-1], len(pieces))))
+            else:
+                plan.append(tuple([number(p, len(pieces)) for p in self.pieces(word)]))
         ids = self.encode_pieces(list(pieces))
         return [
-            ids[pieces[row[0]]]
-            if len(row) == 1 and isinstance(row[0], str)
-            else [i for p in row for i in ([p] if isinstance(p, int) else ids[pieces[p]])]
+            ids[row[0]] if len(row) == 1 and row[0] >= 0 else [i for n in row for i in (ids[n] if n >= 0 else (-1 - n,))]
             for row in plan
         ]
 
@@ -215,7 +240,7 @@ class WordBpe:
 
     def decode(self, ids) -> str:
         """Token strings joined by a blank, as a tokenizer without a decoder step returns them."""
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join([self.tokens[i] for i in ids])
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -231,7 +256,7 @@ def vocabulary(path: str) -> WordBpe:
 
 def shown(bpe: WordBpe, words: list[str]) -> Iterator[tuple[str, tuple[str, int, str]]]:
     for word, ids in zip(words, bpe.encode_words(words), strict=True):
-        yield word, (" ".join(map(str, ids)), len(ids), bpe.decode(ids))
+        yield word, (" ".join([bpe.numerals[i] for i in ids]), len(ids), bpe.decode(ids))
 
 
 def groups(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
