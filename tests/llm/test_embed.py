@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from wicara.llm import embed
+from wicara.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -68,3 +69,41 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert len([r for r in found if r["vec_id"] == 4]) == 3
     assert [(r["n_links"], r["component_id"], r["kept"]) for r in found if r["vec_id"] is None] == [(0, None, True)]
     assert embed.near_duplicates(spark.createDataFrame([], SCHEMA))[0].collect() == []
+
+
+def pairs_beside_a_hot_group(seed, hot=600, pairs=400, dim=32):
+    r = np.random.Generator(np.random.PCG64(seed))
+    center, rows = r.standard_normal(dim), []
+    near = lambda v: (v + 0.05 * r.standard_normal(dim)).astype(np.float32).tolist()
+    for _ in range(hot):
+        rows.append((len(rows), near(center), 0))
+    for _ in range(pairs):
+        one = r.standard_normal(dim)
+        rows += [(len(rows) + i, near(one), 0) for i in range(2)]
+    return rows
+
+
+def test_isolated_pairs_count_beside_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(embed, "SIGNATURES", 1)
+    rows = pairs_beside_a_hot_group(3)
+    found, recall = embed.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
+    assert all(got[i] == (599, 0) for i in range(600))
+    missed = [i for i in range(600, len(rows)) if got[i] != (1, i - i % 2)]
+    assert recall >= embed.RECALL and len(missed) <= 0.02 * 800
+
+
+@pytest.mark.parametrize("met, reached", [(0, 0.0), (3, 0.75)])
+def test_audited_links_stay_out_and_recall_is_reported(spark, monkeypatch, tmp_path, met, reached):
+    rows = pairs_beside_a_hot_group(5, hot=40, pairs=4)
+    edges = [(i, 0) for i in range(1, 40) if met] + [(41 + 2 * i, 40 + 2 * i) for i in range(met)]
+    links = spark.createDataFrame(edges, "u long, v long")
+    monkeypatch.setattr(embed, "descend", lambda scratch, classes, restart, before=None: (None, links))
+    monkeypatch.setattr(embed, "RESTARTS", 1)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found, recall = embed.near_duplicates(df)
+    assert recall == reached
+    assert {r["vec_id"] for r in found.collect() if r["n_links"]} == {x for e in edges for x in e}
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(RuntimeError, match="recall"):
+        QUERIES["op1_nn_descent_near_dedup"](spark, str(tmp_path))

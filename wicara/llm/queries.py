@@ -46,7 +46,9 @@ from embeddings t left join degrees d on t.vec_id = d.u left join parts p on t.v
 
 @query("op1_nn_descent_near_dedup", EMBED_SQL)
 def nn_descent_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found, _ = embed.near_duplicates(table(spark, folder, "embeddings"))
+    found, recall = embed.near_duplicates(table(spark, folder, "embeddings"))
+    if recall < embed.RECALL:
+        raise RuntimeError(f"links are missing: audited recall {recall:.4f}, target {embed.RECALL}")
     return found
 
 
