@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
-    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
+    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), short_items=True).select("doc_id")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 

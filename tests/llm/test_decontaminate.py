@@ -4,6 +4,7 @@ import itertools
 import random
 
 from wicara.llm import decontaminate
+from wicara.llm.queries import QUERIES
 
 r = random.Random(11)
 VOCABULARY = [f"tok{i}" for i in range(3000)] + ["the", "of", "and"] * 200
@@ -81,3 +82,35 @@ def test_nulls_ties_and_empty_tables(spark):
     assert found(spark, docs, []) == {}
     assert found(spark, [], [(7, item, 0)]) == {}
     assert found(spark, [(1, "the of and the of and plain words here", "", 0)], [(7, item, 0)]) == {}
+
+
+def short_copies():
+    """Items of 1 to 15 tokens; documents with every placement of the most substitutions, and with one more."""
+    items = [(n, [f"s{n}t{i}" for i in range(n)]) for n in range(1, 16)]
+    docs, want = [], {}
+    for n, item in items:
+        most = n // 4 if n >= decontaminate.LEAST_ITEM else 0
+        for count in (0, most, most + 1):
+            for bad in itertools.combinations(range(n), count):
+                if count > most and len(docs) % 7:
+                    docs.append((len(docs), "x y"))
+                    continue
+                body = ["other" if i in bad else w for i, w in enumerate(item)]
+                if count <= most:
+                    want[len(docs)] = [n]
+                docs.append((len(docs), " ".join(["x"] * (len(docs) % 3) + body + ["y"] * (len(docs) % 2))))
+    return items, docs, want
+
+
+def test_short_items_miss_no_placement(spark, tmp_path):
+    items, docs, want = short_copies()
+    rows = [(n, text, "h", 1) for n, text in docs]
+    texts = [(n, " ".join(w), 0) for n, w in items]
+    for settings in ({}, {"broadcast_seeds": 0}):
+        assert found(spark, rows, texts, short_items=True, **settings) == want
+    long = {n: w for n, w in want.items() if w[0] >= decontaminate.LEAST_ITEM}
+    assert found(spark, rows, texts) == long
+    spark.createDataFrame(rows, "doc_id long, text string, h string, item long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(texts, "item_id long, text string, at int").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["op5_spaced_seed_decontamination"](spark, str(tmp_path)).collect()
+    assert {x["doc_id"]: x["item_ids"] for x in got} == want

@@ -4,10 +4,13 @@ Tokens are lower-cased runs of letters and digits. Four fixed masks over at most
 five of them and ignore the others; equal mask hashes of a training text and a benchmark item name
 a diagonal, along which the item is laid against the text. A passage is an overlap in which some
 window of 16 aligned tokens (of the whole item, if it is shorter) has at least three quarters equal.
-The masks together meet every placement of four substitutions in 16 tokens, so none is missed.
+The masks together meet every placement of four substitutions in 16 tokens; items of 8 to 13 tokens
+have two more masks, with which every placement of the two or three substitutions they may have is
+met, so none is missed. With ``short_items`` items of fewer than ``LEAST_ITEM`` tokens are found as exact
+copies of the whole item, by a mask as long as the item.
 
-Defined results: null and empty texts hold nothing; items of fewer than ``LEAST_ITEM`` tokens cannot
-be told from common phrases and are not searched. Rows with equal ids are one document. Columns
+Defined results: null and empty texts hold nothing; without ``short_items`` items of fewer than
+``LEAST_ITEM`` tokens, which can be common phrases, are not searched. Rows with equal ids are one document. Columns
 other than id and text are not read.
 """
 
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from wicara.llm.common import Scratch
 
 MASKS = ("111011", "10010111", "11110001", "110111")
+SHORT_MASKS = ("1100101", "101101")  # for items of LEAST_ITEM to SHORT tokens
+SHORT = 13
 SPAN = 8
 WINDOW = 16
 SHARE = 0.75
@@ -32,18 +37,31 @@ def token_hashes(df: DataFrame, text: str) -> Column:
     return F.transform(F.filter(F.coalesce(words, F.array()), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(df: DataFrame) -> DataFrame:
-    """``df`` (with ``h``, token hashes) once per position and mask: ``at``, ``seed``."""
+def numbered_masks() -> dict[int, tuple[str, int, int]]:
+    """Number to mask, and the least and most tokens of the items it is for."""
+    most = 2**31 - 1
+    listed = [(m, LEAST_ITEM, most) for m in MASKS] + [(m, LEAST_ITEM, SHORT) for m in SHORT_MASKS]
+    return dict(enumerate(listed + [("1" * n, n, n) for n in range(1, LEAST_ITEM)]))
+
+
+def seeds(df: DataFrame, numbers: list[int], items: bool) -> DataFrame:
+    """``df`` (with ``h``, token hashes) once per position and mask: ``at``, ``number``, ``seed``.
+
+    Of ``items`` only the masks for their length are read.
+    """
+    masks = {n: numbered_masks()[n] for n in numbers}
+    shortest = min((len(m) for m, _, _ in masks.values()), default=1)
     # a mask shorter than the span also starts in the last places; tokens beyond the end are null
-    placed = df.where(F.size("h") >= LEAST_ITEM).withColumn(
-        "at", F.explode(F.sequence(F.lit(0), F.size("h") - F.lit(min(map(len, MASKS)))))
-    )
+    placed = df.where(F.size("h") >= shortest).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("h") - shortest)))
     hashes = []
-    for number, mask in enumerate(MASKS):
+    for number, (mask, least, most) in masks.items():
         read = [F.get("h", F.col("at") + i) for i, sign in enumerate(mask) if sign == "1"]
-        inside = F.col("at") + len(mask) <= F.size("h")
-        hashes.append(F.when(inside, F.xxhash64(F.lit(number), *read)))
-    return placed.withColumn("seed", F.explode(F.array(*hashes))).where(F.col("seed").isNotNull())
+        fits = F.col("at") + len(mask) <= F.size("h")
+        if items:
+            fits &= F.size("h").between(least, most)
+        hashes.append(F.when(fits, F.struct(F.lit(number).alias("number"), F.xxhash64(F.lit(number), *read).alias("seed"))))
+    one = F.explode(F.array(*hashes) if hashes else F.array().cast("array<struct<number:int,seed:long>>"))
+    return placed.withColumn("_one", one).where("_one is not null").select(*df.columns, "at", "_one.number", "_one.seed")
 
 
 def window_matches(equal: Column, size: Column) -> Column:
@@ -65,23 +83,28 @@ def passages(
     item_id: str = "item_id",
     item_text: str = "text",
     broadcast_seeds: int = BROADCAST_SEEDS,
+    short_items: bool = False,
 ) -> DataFrame:
     """(doc, item, start, n_equal, n_aligned) of every verified overlap; ``start`` is its first token."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = scratch.write(
         benchmark.select(benchmark[item_id].alias("item"), token_hashes(benchmark, item_text).alias("h"))
-        .where(F.size("h") >= LEAST_ITEM)
+        .where(F.size("h") >= (1 if short_items else LEAST_ITEM))
         .withColumn("row", F.xxhash64("item", "h"))
         .dropDuplicates(["item", "row"]),
         "items",
     )
     wanted = scratch.write(
-        seeds(items).select("seed", "item", "row", F.col("at").alias("place"), F.size("h").alias("n")), "seeds"
+        seeds(items, list(numbered_masks()), True).select(
+            "number", "seed", "item", "row", F.col("at").alias("place"), F.size("h").alias("n")
+        ),
+        "seeds",
     )
+    used = sorted(r["number"] for r in wanted.select("number").distinct().collect())  # masks some item needs
     if wanted.count() <= broadcast_seeds:
         wanted = F.broadcast(wanted)
     tokens = docs.select(docs[doc_id].alias("doc"), token_hashes(docs, text).alias("h"))
-    hits = seeds(tokens).join(wanted, "seed").withColumn("start", F.col("at") - F.col("place"))
+    hits = seeds(tokens, used, False).drop("number").join(wanted.drop("number"), "seed").withColumn("start", F.col("at") - F.col("place"))
     skipped = F.greatest(-F.col("start"), F.lit(0))
     aligned = (
         hits.select(
@@ -100,8 +123,9 @@ def passages(
     )
     size = F.least(F.size("full"), F.lit(WINDOW))
     best = F.when(F.size("equal") >= size, window_matches(F.col("equal"), size)).otherwise(0)
+    least = F.when(F.size("full") < LEAST_ITEM, F.size("full")).otherwise(F.ceil(size * SHARE))
     found = (
-        scored.where(best >= F.ceil(size * SHARE))
+        scored.where(best >= least)
         .groupBy("doc", "item", "start")
         .agg(
             F.max(F.aggregate("equal", F.lit(0), lambda a, e: a + e)).alias("n_equal"),
@@ -111,7 +135,7 @@ def passages(
     return scratch.finish(found, "passages")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """One row per document that holds a passage: its items, and the longest overlap."""
     doc_id = names.get("doc_id", "doc_id")
     return (

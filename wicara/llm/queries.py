@@ -123,7 +123,8 @@ def token_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_spaced_seed_decontamination")
 def spaced_seed_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.contaminated(docs, benchmark, short_items=True)
 
 
 @query("op6_bootstrapped_pii")
