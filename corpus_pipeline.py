@@ -24,15 +24,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
-    copies = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each group of near copies: that with the smallest id, null ids last."""
+    scratch = Scratch(spark, "copies")
+    rows = scratch.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = scratch.write(minhash.near_duplicates(rows, doc_id="_row").select("_row", "component_id", "kept"), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    first = scratch.write(first.where("_row <> component_id"), "first")  # its group is named by another row
+    copies = found.where(~F.col("kept")).select("_row").join(first, "_row", "left_anti")
+    copies = scratch.write(copies.unionByName(first.select(F.col("component_id").alias("_row"))), "copies")
+    return rows.join(copies, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage."""
-    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), short_items=True).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a benchmark passage; rows without id are told apart by their text."""
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))))
+    bad = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), doc_id="_row", short_items=True)
+    return rows.join(bad.select("_row"), "_row", "left_anti").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

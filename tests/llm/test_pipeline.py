@@ -81,3 +81,15 @@ def test_registered_queries():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_null_ids_and_repeated_rows(spark, tmp_path):
+    one, two, three, item = prose("aa"), prose("aa"), prose("bb"), prose("aa", 20)
+    bad, clean = f"{prose('bb', 30)} {item}", prose("bb")
+    rows = [(None, one), (7, one), (3, one), (4, two), (4, two), (None, three), (None, three), (None, bad), (9, f"{prose('aa')} {item}"), (None, clean)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 0) for i, t in rows], SCHEMA)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated):
+        docs = stage(spark, docs, str(tmp_path))
+    got = sorted(((x["doc_id"], x["text"]) for x in docs.collect()), key=str)
+    assert got == sorted([(3, one), (4, two), (None, three), (None, clean)], key=str)
