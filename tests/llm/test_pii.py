@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -87,3 +88,20 @@ def test_redaction_keeps_rows_and_columns(docs):
 def test_empty_table(docs):
     assert pii.personal_data(docs.where("false")).collect() == []
     assert pii.redact(docs.where("false")).collect() == []
+
+
+def test_candidates_of_long_runs_take_linear_time():
+    began = time.perf_counter()
+    assert pii.candidates("a" * 40_000, []) == []
+    assert pii.candidates("語" * 40_000 + " x1234", []) == [(40_001, 40_006)]
+    assert pii.candidates("a" * 40_000 + "1", []) == [(0, 40_001)]
+    assert time.perf_counter() - began < 5
+
+
+def test_candidates_are_whole_runs():
+    r = random.Random(6)
+    run = re.compile(r"[^\s\"'<>()\[\]{},;:=|]+")
+    for _ in range(4000):
+        text = "".join(r.choice("ab12@é .!-,:=|'\"()[]{}<>;\n") for _ in range(r.randrange(40)))
+        runs = [(m.start(), m.start() + len(m.group().rstrip(".!?"))) for m in run.finditer(text) if re.search("[0-9@]", m.group())]
+        assert pii.candidates(text, []) == [(s, e) for s, e in runs if e - s >= 5]

@@ -36,7 +36,9 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_CANDIDATE = re.compile(r"[^\s\"'<>()\[\]{},;:=|]*[0-9@][^\s\"'<>()\[\]{},;:=|]*")
+# A run without blank or separator is tried once, from its start, and read once.
+_APART = r"\s\"'<>()\[\]{},;:=|"
+_CANDIDATE = re.compile(rf"(?<![^{_APART}])[^{_APART}0-9@]*+[0-9@][^{_APART}]*+")
 _WORD = re.compile(r"[^\W\d_]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
