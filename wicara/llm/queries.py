@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wicara.llm import bpe, chat, decontaminate, embed, langid, minhash, pii, rollup, tokenfile, warc
+from wicara.llm import bpe, chat, decontaminate, embed, langid, minhash, packing, pii, rollup, tokenfile, warc
 from wicara.llm.common import Scratch, table
 from wicara.llm.hashing import SHINGLE
 
@@ -196,6 +196,11 @@ def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op13_cost_balanced_packing")
+def cost_balanced_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_index(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
