@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wicara.llm import bpe, chat, decontaminate, embed, langid, minhash, packing, pii, rollup, tokenfile, warc
+from wicara.llm import bpe, chat, collocation, decontaminate, embed, langid, minhash, packing, pii, rollup, tokenfile, warc
 from wicara.llm.common import Scratch, table
 from wicara.llm.hashing import SHINGLE
 
@@ -196,6 +196,37 @@ def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+COLLOCATION_SQL = rf"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+s as (select lang, ws, unnest(range(1, {collocation.LONGEST + 1})) as m from w),
+i as (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from s),
+f as (select lang, array_to_string(ws[i : i + m - 1], ' ') as phrase, m, count(*) as a from i group by 1, 2, 3),
+t as (select lang, sum(a) as n from f where m = 1 group by 1),
+c as (select lang, phrase, m, a, string_split(phrase, ' ') as ws from f where m > 1 and a >= {collocation.LEAST}),
+k as (select *, unnest(range(1, m)) as k from c),
+q as (select k.lang, k.phrase, k.m, k.a, k.k, x.a as l, y.a as r, t.n,
+  (1000::hugeint * k.a * t.n) // (x.a::hugeint * y.a) as score from k join t on t.lang = k.lang
+  join f x on x.lang = k.lang and x.phrase = array_to_string(k.ws[: k.k], ' ')
+  join f y on y.lang = k.lang and y.phrase = array_to_string(k.ws[k.k + 1 :], ' ')),
+b as (select *, row_number() over (partition by lang, phrase order by score, k) as place from q),
+o as (select lang, a as f, ws, unnest(range(2, m)) as m from c),
+e as (select lang, f, ws, m, unnest(range(1, len(ws) - m + 2)) as i from o),
+h as (select lang, array_to_string(ws[i : i + m - 1], ' ') as phrase, max(f) as f from e group by 1, 2),
+r as (select b.lang, b.phrase, b.a, b.l, b.r, b.n, b.score, row_number() over (partition by b.lang
+  order by b.score desc, b.a desc, b.phrase) as rank from b left join h on h.lang = b.lang and h.phrase = b.phrase
+  where b.place = 1 and (h.f is null or 100 * h.f < {collocation.SHARE} * b.a))
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from r where rank <= {collocation.TOP}
+"""
+
+
+@query("op12_collocation_automata", COLLOCATION_SQL)
+def collocation_automata(spark: SparkSession, folder: str) -> DataFrame:
+    return collocation.collocations(table(spark, folder, "documents"))
+
+
 @query("op13_cost_balanced_packing")
 def cost_balanced_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_index(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
