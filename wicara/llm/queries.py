@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wicara.llm import bpe, chat, collocation, decontaminate, embed, langid, minhash, packing, pii, rollup, tokenfile, warc
+from wicara.llm import alignment, bpe, chat, collocation, decontaminate, embed, langid, minhash, packing, pii, rollup, tokenfile, warc
 from wicara.llm.common import Scratch, table
 from wicara.llm.hashing import SHINGLE
 
@@ -196,6 +196,12 @@ def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op11_diagonal_alignment")
+def diagonal_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_documents(table(spark, folder, "documents"), *paths)
+
+
 COLLOCATION_SQL = rf"""
 with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz') as t from documents),
