@@ -1,8 +1,8 @@
-"""Stemming through a (token, stem) dictionary built once per distinct token."""
+"""Stemming: confix stripping of distinct tokens against a table of roots, and texts through a dictionary."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from wicara.functions.columns import words
+from wicara.operators.affixes import PREFIXES, Prefix, with_candidates
 from wicara.session import cut_lineage
 
 
@@ -28,6 +29,31 @@ def build_dictionary(tokens: DataFrame, stemmer: Callable[[str], str]) -> DataFr
     return tokens.select("token", stem("token").alias("stem")).filter(F.col("token") != F.col("stem"))
 
 
+def stem_tokens(
+    tokens: DataFrame, roots: DataFrame, token: str = "token", root: str = "root", rules: Sequence[Prefix] = PREFIXES
+) -> DataFrame:
+    """(token, stem) of each distinct token: the first of its stripped forms that is a root.
+
+    Tokens none of whose forms is a root are their own stems. All forms of a token meet the roots in
+    one join, whatever the size of either side; the earliest hit is found by partial minima.
+    """
+    distinct = tokens.select(F.col(token).alias("token")).where(F.col(token).isNotNull()).distinct()
+    forms = with_candidates(distinct, "token", rules).select("token", F.explode("candidates").alias("c"))
+    order = F.struct("c.phase", "c.rank", "c.level", "c.r1", "c.r2", "c.r3", F.col("c.word").alias("word"))
+    tried = forms.select("token", "c.word", order.alias("key"))
+    known = roots.select(F.col(root).alias("word")).where(F.col(root).isNotNull()).distinct().withColumn("known", F.lit(True))
+    hits = tried.join(known, "word", "left").groupBy("token").agg(F.min(F.when(F.col("known"), F.col("key"))).alias("key"))
+    return hits.select("token", F.coalesce("key.word", "token").alias("stem"))
+
+
+def stem_texts(
+    df: DataFrame, text: str, row_id: str, roots: DataFrame, out: str = "text_processed", root: str = "root"
+) -> DataFrame:
+    """Replace each word of a text by its root; words without one stay as they are."""
+    dictionary = cut_lineage(stem_tokens(distinct_tokens(df, text), roots, root=root).where("token <> stem"))
+    return stem_by_dictionary(df, text, row_id, dictionary, out)
+
+
 def stem_by_dictionary(
     df: DataFrame, text: str, row_id: str, dictionary: DataFrame, out: str = "text_processed"
 ) -> DataFrame:

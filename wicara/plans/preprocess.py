@@ -20,7 +20,7 @@ from wicara.functions.text import (
 from wicara.functions.wordlists import SLANG_MAP
 from wicara.operators.labels import fit_labels, multi_hot
 from wicara.operators.quality import conflict_rows, drop_blank, drop_spam, keep_first_consistent
-from wicara.operators.stemming import stem_by_dictionary
+from wicara.operators.stemming import stem_by_dictionary, stem_texts
 from wicara.schemas import require_columns
 
 
@@ -71,10 +71,13 @@ def process_text(
     stopwords: Iterable[str] | None = None,
     stems: DataFrame | None = None,
     encode_topic: bool | Sequence[str] = False,
+    roots: DataFrame | None = None,
 ) -> DataFrame:
     """Append ``text_processed`` and, on request, the topic indicators.
 
-    Stop-word removal and stemming are skipped where their word list or dictionary is not given.
+    Stop-word removal and stemming are skipped where their word list, dictionary or roots are not
+    given. ``stems`` is a finished dictionary (token, stem); ``roots`` (root) lets the affix rules find
+    the stems.
     ``encode_topic`` may be the labels of an earlier table (``topic_encoder``): new data then gets
     the same columns.
     """
@@ -85,6 +88,8 @@ def process_text(
     result = df.withColumn("text_processed", processed)
     if stems is not None:
         result = stem_by_dictionary(result, "text_processed", row_id, stems)
+    if roots is not None:
+        result = stem_texts(result, "text_processed", row_id, roots)
     if encode_topic:
         require_columns(df, "topic")
         known = None if encode_topic is True else list(encode_topic)
@@ -99,7 +104,8 @@ def preprocess(
     stems: DataFrame | None = None,
     encode_topic: bool | Sequence[str] = False,
     slang: Mapping[str, str] = SLANG_MAP,
+    roots: DataFrame | None = None,
 ) -> DataFrame:
     """All steps; rows that clean to nothing leave before the text is processed further."""
     cleaned = derive_columns(distinct_comments(df, row_id), slang=slang, drop_empty=True)
-    return process_text(cleaned, row_id, stopwords, stems, encode_topic)
+    return process_text(cleaned, row_id, stopwords, stems, encode_topic, roots)
