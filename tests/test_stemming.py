@@ -95,7 +95,7 @@ def planted(r, roots):
         yield word + "".join(r.choice(["", "", *e]) for e in (affixes.DERIVATIONS, affixes.POSSESSIVES, affixes.PARTICLES))
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_equals_the_steps_in_any_order_of_the_rules(spark, seed):
     r = random.Random(seed)
     letters = "aiuerlmnkstbp"
@@ -111,7 +111,7 @@ def test_equals_the_steps_in_any_order_of_the_rules(spark, seed):
 
 
 def test_every_order_of_conflicting_rules(spark):
-    rules = [Prefix("me", "men", "aiueo", "t"), Prefix("me", "men", "aiueo", "n"), Prefix("me", "me"), Prefix("me", "men", "a")]
+    rules = [Prefix("me", "men", "aiueo", "t"), Prefix("me", "men", "aiueo", "n"), Prefix("me", "men", "a")]
     roots = ["tari", "nari", "ari"]
     for order in itertools.permutations(rules):
         got = stem_tokens(table(spark, ["menari"], "token"), table(spark, roots, "root"), rules=order).first()["stem"]

@@ -136,7 +136,7 @@ def _rules_by_kind(rules: Sequence[Prefix]) -> Column:
     return constant(kinds, f"map<string,array<{RULE}>>")
 
 
-def _next(forms: str, rules: Column, level: int, rank: Column) -> Column:
+def _next(forms: Column, rules: Column, level: int, rank: Column) -> Column:
     """The forms that one more beginning taken off those of ``forms`` leads to."""
 
     def taken(c: Column) -> Column:
@@ -174,18 +174,16 @@ def with_candidates(tokens: DataFrame, token: str = "token", rules: Sequence[Pre
     for start, end in PREFIX_FIRST:
         first = first | (F.startswith(F.col(token), F.lit(start)) & F.endswith(F.col(token), F.lit(end)))
     # bound step by step: the optimizer would copy nested steps into one another and into every filter
-    parts = bind(tokens, "_w", F.expr(f"if(length({token}) >= {SHORTEST}, {token}, null)"))
-    parts = bind(parts, "_p", F.expr(_shorter("_w", PARTICLES)))
-    parts = bind(parts, "_b", F.expr("coalesce(_p, _w)"))
-    parts = bind(parts, "_s", F.expr(_shorter("_b", POSSESSIVES)))
-    parts = bind(parts, "_d", F.expr("coalesce(_s, _b)"))
+    parts = bind(tokens, "_p", F.expr(_shorter(token, PARTICLES)))
+    parts = bind(parts, "_s", F.expr(_shorter(f"coalesce(_p, {token})", POSSESSIVES)))
     forms = [_form(0, token), _form(1, "_p"), _form(2, "_s")]
-    forms += [_form(3 + k, _shorter("_d", [e]), e) for k, e in enumerate(DERIVATIONS)]
+    forms += [_form(3 + k, _shorter(f"coalesce(_s, _p, {token})", [e]), e) for k, e in enumerate(DERIVATIONS)]
     made = bind(parts, "_forms", F.expr(f"filter(array({', '.join(forms)}), x -> x is not null)"))
     known = _rules_by_kind(rules)
-    made = bind(made, "_l0", F.expr("if(_w is null, slice(_forms, 1, 0), _forms)"))
+    before = F.when(F.length(token) >= SHORTEST, F.col("_forms")).otherwise(F.slice("_forms", 1, 0))
+    levels = ["_forms"]
     for level in range(1, LEVELS + 1):
-        made = bind(made, f"_l{level}", _next(f"_l{level - 1}", known, level, first))
-    levels = [f"_l{level}" for level in range(LEVELS + 1)]
-    made = bind(made, "candidates", F.concat("_forms", *levels[1:]))
-    return made.drop("_w", "_p", "_b", "_s", "_d", "_forms", *levels)
+        made = bind(made, f"_l{level}", _next(before, known, level, first))
+        before = F.col(f"_l{level}")
+        levels.append(f"_l{level}")
+    return made.withColumn("candidates", F.concat(*levels)).drop("_p", "_s", *levels)
