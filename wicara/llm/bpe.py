@@ -320,16 +320,17 @@ def encoded(batches, path: str, size: int = SLICE):
         yield pack([(state[0], state[1], state[2].hexdigest(), state[3].hexdigest())])
 
 
-def encode_digests(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text", size: int = SLICE) -> DataFrame:
     """Encode and decode every whole text; digests of ids and decoded text per row.
 
-    Row-local: no shuffle, memory bounded by one slice. ``vocab`` is the path of the tokenizer file
-    on every worker. Columns other than the two named are not read.
+    Row-local: no shuffle, memory bounded by one slice of about ``size`` characters (or the longest run
+    without blanks). Smaller slices share fewer words: less memory, more time. ``vocab`` is the path of
+    the tokenizer file on every worker. Columns other than the two named are not read.
     """
     schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     small_batches(docs.sparkSession)
     narrow = docs.select(docs[doc_id].cast("long").alias("key"), docs[text].cast("string").alias("body"))
-    return narrow.mapInArrow(lean(lambda batches: encoded(batches, vocab)), schema).withColumnRenamed("key", doc_id)
+    return narrow.mapInArrow(lean(lambda batches: encoded(batches, vocab, size)), schema).withColumnRenamed("key", doc_id)
 
 
 def token_ids(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,6 +31,7 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = 3
 ROWS_PER_LANGUAGE = 1500
+SENT_LANGUAGES = 100_000  # row counts by language sent to every task (a few MB); more are joined
 SHARDS = 4
 ROUNDS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
@@ -183,7 +184,9 @@ def fit(
     scratch = Scratch(spark, "langid")
     named = docs.select(docs[doc_id].alias("key"), docs[text].cast("string").alias("body"), docs[lang].cast("string").alias("lang"))
     learn = named.where(F.col("key").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key")))
-    counts = learn.groupBy("lang").agg(F.count("*").alias("rows"))
+    counts = scratch.write(learn.groupBy("lang").agg(F.count("*").alias("rows")), "counts")
+    if counts.count() <= SENT_LANGUAGES:  # then the rows are drawn where they are read, before any exchange
+        counts = F.broadcast(counts)
     frequency = (
         learn.select("body").mapInArrow(_frequencies, "bucket int, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs"))
     )
@@ -255,7 +258,7 @@ def fit(
 
     kept = sample.where(F.col("shard") == SHARDS).mapInPandas(logits, "label int, logits array<double>")
     rows = [(r["label"], r["logits"]) for r in kept.collect()]  # a fifth of the bounded sample
-    scratch.drop("sample")
+    scratch.drop("sample", "counts")
     return LanguageModel(languages, weights, bias, temperature([a for a, _ in rows], [b for _, b in rows]))
 
 
