@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wicara.llm import bpe, decontaminate, langid, minhash, pii
 from wicara.llm.common import Scratch, table
 
+ENCODED_TOGETHER = 2_000_000  # characters; the stages before leave less memory than a fresh session has
 LEAST_SCORE = 0.3  # below it a text is in none of the learned languages
 
 
@@ -51,7 +52,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode what is left; digests of ids and decoded text."""
-    return bpe.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"), size=ENCODED_TOGETHER)
 
 
 STAGES = [
