@@ -119,10 +119,15 @@ def test_stream_with_a_joined_lexicon(spark, tmp_path):
     posts = [{"id": i, "text": t, "lang": "id", "hashtags": ["viral"]} for i, t in enumerate(["menang88 goblok", "damai", "kata7 sok tahu"])]
     (landed / "0.json").write_text("\n".join(json.dumps(p) for p in posts))
     entries = [("goblok", "a"), ("sok tahu", "b")] + [(f"kata{i}", "c") for i in range(2_001)]
-    large = Lexicon.of(lexicon_frame(spark, entries))
+    large = Lexicon.of(lexicon_frame(spark, entries), trie_limit=0)
     feed = read_feed(spark, str(landed))
     with pytest.raises(ValueError):
         score_feed(feed, large, "id")
+    # below the limit of the trie the same lexicon is matched inside the row, also on a stream
+    in_row = score_feed(feed, Lexicon.of(lexicon_frame(spark, entries)), "id")
+    write_feed(in_row, str(tmp_path / "trie"), str(tmp_path / "trie-state"), once=True).awaitTermination()
+    by_trie = spark.read.schema(in_row.schema).parquet(str(tmp_path / "trie")).orderBy("id").collect()
+    assert [r["matched_expressions"] for r in by_trie] == ["goblok", "", "sok tahu, kata7"]
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     for _ in range(2):
         write_batches(feed, lambda df: score_feed(df, large, "id"), out, state, once=True).awaitTermination()

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from wicara.functions import rules
 from wicara.operators import lexicon, promo
+from wicara.operators.trie import WordTrie
 from wicara.plans.scoring import promo_table
 from wicara.sources.files import read_lexicon, read_number_reference
 
@@ -47,21 +49,33 @@ def test_matches_in_lexicon_order_without_repeats(spark):
     ]
 
 
-@pytest.mark.parametrize("extra", [0, 2_001, 50_000])
-def test_joined_matches_equal_inline_matches(spark, extra):
+@pytest.mark.parametrize("extra,trie_limit", [(0, 0), (2_001, 0), (50_000, 0), (2_001, 10_000), (50_000, 100_000)])
+def test_joined_and_trie_matches_equal_inline_matches(spark, extra, trie_limit):
     values = ["tai anjing tai kucing", "dasar sampah masyarakat", None, "", "netral", "gila " * 50]
     df = texts(spark, values)
     inline = lexicon.lexicon_matches(df, "text", expressions(spark), "id").orderBy("id").collect()
     more = spark.range(extra).selectExpr("1000 + id as position", "concat('kata lain ', id) as expression", "'x' as region")
-    large = lexicon.Lexicon.of(lexicon.default_lexicon(spark).unionByName(more), inline_limit=100)
-    assert not large.small
-    with pytest.raises(ValueError):
-        large.expressions
+    large = lexicon.Lexicon.of(lexicon.default_lexicon(spark).unionByName(more), 100, trie_limit)
+    assert not large.small and large.in_row == bool(trie_limit)
+    if not trie_limit:
+        with pytest.raises(ValueError):
+            large.expressions
     joined = lexicon.lexicon_matches(df, "text", large, "id").orderBy("id").collect()
     assert [r["matches"] for r in inline] == [r["matches"] for r in joined]
     assert lexicon.lexicon_rule(df, "text", large, "id").filter("rule.toxic").count() == 3
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_trie_equals_containment(seed):
+    r = random.Random(seed)
+    text = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    entries = sorted({text(r.randrange(1, 5)) for _ in range(r.randrange(1, 40))}, key=lambda _: r.random())
+    trie = WordTrie(entries)
+    for _ in range(40):
+        body = text(r.randrange(12)) + r.choice(["", " d", " d a b"])
+        assert trie.matches(body) == [i for i, e in enumerate(entries) if f" {e} " in f" {body} "]
+
+
 def test_rule_report(spark):
     df = lexicon.lexicon_matches(texts(spark, ["goblok anjing", "baik"]), "text", expressions(spark), "id")
     first, second = lexicon.rule_report(df).orderBy("id").collect()

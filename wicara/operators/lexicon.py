@@ -13,6 +13,7 @@ from wicara.functions.columns import bind, constant, keep_words, let, word_posit
 from wicara.functions.rules import join_expressions, join_regions, toxic_label
 from wicara.functions.text import clean_ascii
 from wicara.functions.wordlists import PROFANITY
+from wicara.operators.trie import trie_matcher
 from wicara.session import cut_lineage
 
 MATCHES = "array<struct<expression:string,regions:array<string>>>"
@@ -54,30 +55,47 @@ def group_lexicon(entries: DataFrame) -> DataFrame:
 class Lexicon:
     """A grouped lexicon of any size.
 
-    Lexicons of at most ``inline_limit`` expressions are matched inside the row, which also works on
-    a stream; larger ones are joined. The matches are the same.
+    Lexicons of at most ``inline_limit`` expressions are matched by column functions, those of at most
+    ``trie_limit`` expressions by a trie sent to the workers; both stay inside the row and also work
+    on a stream. Larger ones are joined. The matches are the same.
     """
 
     grouped: DataFrame
     inline_limit: int = 2_000
+    trie_limit: int = 200_000
 
     @classmethod
-    def of(cls, entries: DataFrame | Lexicon, inline_limit: int = 2_000) -> Lexicon:
+    def of(cls, entries: DataFrame | Lexicon, inline_limit: int = 2_000, trie_limit: int = 200_000) -> Lexicon:
         """The lexicon of (expression, region, position) rows."""
-        return entries if isinstance(entries, Lexicon) else cls(group_lexicon(entries), inline_limit)
+        return entries if isinstance(entries, Lexicon) else cls(group_lexicon(entries), inline_limit, trie_limit)
 
     @cached_property
+    def size(self) -> int:
+        """Expressions, counted up to one more than a trie may hold."""
+        return self.grouped.limit(max(self.inline_limit, self.trie_limit) + 1).count()
+
+    @property
     def small(self) -> bool:
-        return self.grouped.limit(self.inline_limit + 1).count() <= self.inline_limit
+        return self.size <= self.inline_limit
+
+    @property
+    def in_row(self) -> bool:
+        """Whether matching stays inside the row."""
+        return self.small or self.size <= self.trie_limit
 
     @cached_property
     def expressions(self) -> Expressions:
-        """Expressions with their regions, in lexicon order, of a small lexicon."""
-        if not self.small:
+        """Expressions with their regions, in lexicon order, of a lexicon matched inside the row."""
+        if not self.in_row:
             raise ValueError("this lexicon is matched by a join, not inside the row")
         rows = sorted(self.grouped.collect(), key=lambda row: (row["position"], row["expression"]))
         return [(row["expression"], list(row["regions"])) for row in rows]
 
+    @cached_property
+    def trie(self):
+        """Column function that matches a cleaned text by the trie of the expressions."""
+        return trie_matcher(self.grouped.sparkSession, self.expressions)
+
     def save(self, path: str) -> None:
         self.grouped.write.mode("overwrite").parquet(path)
 
@@ -162,6 +180,8 @@ def lexicon_matches(
     lexicon = Lexicon.of(lexicon)
     if lexicon.small:
         return bind(df, out, match_inline(clean_ascii(text), lexicon.expressions))
+    if lexicon.in_row:
+        return df.withColumn(out, lexicon.trie(clean_ascii(text)))
     return match_joined(df, text, row_id, lexicon.grouped, out)
 
 

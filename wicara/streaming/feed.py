@@ -48,11 +48,11 @@ def score_feed(
 ) -> DataFrame:
     """Selected posts with lexicon, meter and promotion outcome; the same for batch and stream.
 
-    With a lexicon small enough for the row every step works on one row, so no state, watermark or
-    late-data rule is involved. A larger one is joined: score its stream with ``write_batches``.
+    With a lexicon that is matched inside the row every step works on one row, so no state, watermark
+    or late-data rule is involved. A larger one is joined: score its stream with ``write_batches``.
     """
     lexicon = Lexicon.of(lexicon)
-    if posts.isStreaming and not lexicon.small:
+    if posts.isStreaming and not lexicon.in_row:
         raise ValueError("a lexicon this large is joined: use write_batches")
     selected = select_posts(posts, tags, lang, hashtags)
     columns = selected.columns
