@@ -150,3 +150,18 @@ def test_required_columns(spark):
     with pytest.raises(ValueError):
         require_columns(spark.range(1), "id", "text_clean")
     assert spark.range(1).select(clean_ascii(F.lit("A"))).first()[0] == "a"
+
+
+def test_sparse_labels(spark):
+    rows = [(1, ["b", "a", "b", None]), (2, []), (3, None), (4, ["c"]), (5, ["a"])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    numbers = labels.label_numbers(df, "t")
+    number = {r["label"]: r["number"] for r in numbers.collect()}
+    assert sorted(number) == ["a", "b", "c"] and sorted(number.values()) == [0, 1, 2]
+    got = {r["id"]: r["indices"] for r in labels.sparse_labels(df, "t", "id").collect()}
+    assert got == {i: sorted({number[v] for v in ls or [] if v}) for i, ls in rows}
+    new = spark.createDataFrame([(9, ["z", "c"])], "id int, t array<string>")
+    assert labels.sparse_labels(new, "t", "id", numbers).first()["indices"] == [number["c"]]
+    many = spark.range(20_000).select("id", F.array((F.col("id") * 7 % 15_000).cast("string")).alias("t"))
+    found = labels.label_numbers(many, "t").agg(F.count("*"), F.min("number"), F.max("number"), F.count_distinct("number")).first()
+    assert tuple(found) == (15_000, 0, 14_999, 15_000)

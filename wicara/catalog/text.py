@@ -319,6 +319,33 @@ def multi_hot(spark, folder):
     return label_ops.multi_hot(topic_lists(spark, folder), "topic").drop("topic")
 
 
+WORD_LIST = "regexp_extract_all(lower(text), '[a-z]{{3,}}'{0})"
+
+
+@query(
+    "sparse_labels",
+    f"with d as (select doc_id, list_distinct({WORD_LIST.format('')}) as ws from documents), "
+    "n as (select label, row_number() over (order by md5(label || ':42')) - 1 as number from "
+    "(select distinct unnest(ws) as label from d) l), "
+    "p as (select doc_id, unnest(ws) as label from d), "
+    "r as (select doc_id, count(*) as n_labels, string_agg(n.number::varchar, ',' order by n.number) as indices "
+    "from p join n on n.label = p.label group by 1) "
+    "select d.doc_id, coalesce(r.n_labels, 0) as n_labels, coalesce(md5(r.indices), '') as indices_md5 "
+    "from d left join r on r.doc_id = d.doc_id",
+)
+def sparse_labels(spark, folder):
+    """Every word of the documents as a label: far more labels than columns could hold."""
+    found = F.expr(WORD_LIST.format(", 0"))
+    docs = documents(spark, folder).select("doc_id", F.array_distinct(found).alias("labels"))
+    made = label_ops.sparse_labels(docs, "labels", "doc_id")
+    listed = F.md5(F.array_join(F.col("indices").cast("array<string>"), ","))
+    return made.select(
+        "doc_id",
+        F.size("indices").cast("long").alias("n_labels"),
+        F.when(F.size("indices") > 0, listed).otherwise(F.lit("")).alias("indices_md5"),
+    )
+
+
 @query(
     "proto_one_hot",
     "select doc_id, case when toxic = 1 then '1,0,1,0' else '0,1,0,1' end || "
