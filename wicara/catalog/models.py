@@ -34,7 +34,7 @@ from wicara.plans.scoring import score_posts
 from wicara.plans.training import TrainingParams, split_rows, train, with_targets
 from wicara.session import cut_lineage, remove_on_exit, shared_dir
 from wicara.sources.files import read_table
-from wicara.streaming.feed import read_feed, score_feed, write_feed
+from wicara.streaming.feed import mark_repeats, read_feed, score_feed, write_feed
 
 FEED_TOKENS = f"select doc_id, {mapped_sql(words_sql(ascii_sql('text')), PRONOUN_MAP)} as ws from documents"
 
@@ -251,3 +251,32 @@ def feed_stream(spark, folder):
     ).select("doc_id", "rule_toxicity", "matched_expressions", "promo_label", "meter", "meter_label")
     write_feed(scored, f"{base}/out", f"{base}/state", once=True).awaitTermination()
     return spark.read.schema(scored.schema).parquet(f"{base}/out")
+
+
+REPEATS_SQL = """
+select doc_id, make_timestamp((1700000000 + cast(doc_id as bigint)) * 1000000) as at, first_value(doc_id) over w as first_id,
+  row_number() over w = 1 as is_first, min(doc_id % 3) over w <> max(doc_id % 3) over w as conflict
+from documents window w as (partition by text order by doc_id rows unbounded preceding)
+"""
+
+
+def dated(posts):
+    """Documents as posts of one second each, with three labels."""
+    return posts.select("doc_id", "text", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("at"), (F.col("doc_id") % 3).alias("y"))
+
+
+@query("repeated_posts", REPEATS_SQL)
+def repeated_posts(spark, folder):
+    return mark_repeats(dated(read_table(spark, folder, "documents")), "text", "doc_id", "at", "y")
+
+
+@query("repeat_stream", REPEATS_SQL)
+def repeat_stream(spark, folder):
+    """The same from a stream with keyed state."""
+    base = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
+    remove_on_exit(spark, base)
+    schema = read_table(spark, folder, "documents").schema
+    posts = read_feed(spark, folder, schema, "parquet", pathGlobFilter="documents.parquet")
+    marked = mark_repeats(dated(posts), "text", "doc_id", "at", "y")
+    write_feed(marked, f"{base}/out", f"{base}/state", once=True).awaitTermination()
+    return spark.read.schema(marked.schema).parquet(f"{base}/out")

@@ -91,7 +91,7 @@ def mark_repeats(
 
     On a stream the state of a text, four numbers, is kept until ``keep`` after its latest post in event
     time; a post after that starts anew, and posts more than ``keep`` behind the newest one are late and
-    give no row. On a table nothing is late and nothing ends; for posts that arrive in order of time,
+    give no row, nor do posts up to 1970, where the watermark starts. On a table nothing is late and nothing ends; for posts that arrive in order of time,
     with less than ``keep`` between repeats, both give the same rows.
     """
     of_row = F.lit(None) if label is None else F.col(label)
