@@ -58,8 +58,7 @@ def ngrams_1_2(spark, folder):
 
 @query("tfidf_vocabulary", VOCABULARY_SQL)
 def tfidf_vocabulary(spark, folder):
-    statistics = features.term_statistics(grams(documents(spark, folder)))
-    return features.vocabulary(statistics, MAX_FEATURES, 2)
+    return features.frequent_terms(grams(documents(spark, folder)), MAX_FEATURES, 2)
 
 
 @query(
