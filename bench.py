@@ -43,6 +43,10 @@ HEADLINE = (
     "macro_metrics",
     "feed_stream",
     "lexicon_rule_large",
+    "stem_tokens",
+    "balanced_group_folds",
+    "sparse_labels",
+    "repeated_posts",
 )
 # Run once: these fit models.
 HEAVY = ("mood_head", "svm_scores", "calibrated_confidence", "trimodel_scores")
