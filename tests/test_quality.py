@@ -165,3 +165,12 @@ def test_sparse_labels(spark):
     many = spark.range(20_000).select("id", F.array((F.col("id") * 7 % 15_000).cast("string")).alias("t"))
     found = labels.label_numbers(many, "t").agg(F.count("*"), F.min("number"), F.max("number"), F.count_distinct("number")).first()
     assert tuple(found) == (15_000, 0, 14_999, 15_000)
+
+
+def test_hash_sample(spark):
+    df = spark.range(9_000).repartition(5)
+    order = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit("7")))
+    want = [r["id"] for r in df.orderBy(order).collect()]
+    for n in (0, 1, 50, 5_000, 9_000, 10_000):
+        assert [r["id"] for r in quality.hash_sample(df, "id", n, 7).collect()] == want[:n]
+    assert quality.hash_sample(df.limit(0), "id", 3).collect() == []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wicara.functions.text import is_blank
 from wicara.operators.keys import group_key
+from wicara.operators.splits import kth_smallest, order_hash
 from wicara.session import cut_lineage
 
 
@@ -173,8 +174,14 @@ def label_vocabulary(df: DataFrame, labels: str) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in a random but repeatable order."""
-    return df.orderBy(F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed)))), row_id).limit(n)
+    """``n`` rows in a random but repeatable order.
+
+    The ``n``-th smallest hash is found by counting, so only the rows of the sample are sorted.
+    """
+    key = order_hash(row_id, seed)
+    if 0 < n < df.count():
+        df = df.where(key <= F.lit(kth_smallest(df, key, n)))
+    return df.orderBy(key, row_id).limit(n)
 
 
 def tagged_union(tagged: Sequence[tuple[str, DataFrame]], column: str = "source") -> DataFrame:
