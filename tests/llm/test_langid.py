@@ -74,3 +74,60 @@ def test_slices_do_not_change_features(monkeypatch):
     parts = np.concatenate(list(langid.gram_slices(text)))
     assert abs(len(whole) - len(parts)) <= 8 * len(text) // 64
     assert set(whole) == set(parts)
+
+
+def test_fit_equals_dense_reference(spark):
+    """TF-IDF, regularised leader, averaging and temperature, all written out over dense arrays."""
+    from pyspark.sql import functions as F
+
+    data = [r for r in rows(160, 8) if zlib.crc32(str(r[0]).encode()) % 5]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df)
+    lot = F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(langid.SHARDS + 1))
+    shard = {r["doc_id"]: r["shard"] for r in df.select("doc_id", lot.alias("shard")).collect()}
+    languages = sorted({lang for *_, lang in data})
+    counts = np.array([np.bincount(np.concatenate(list(langid.gram_slices(t))), minlength=langid.BUCKETS) for _, t, _ in data])
+    share = counts / counts.sum(axis=1, keepdims=True)
+    idf = np.log((1 + len(data)) / (1 + (counts > 0).sum(axis=0))) + 1
+    x = np.hstack([share * idf * langid.SCALE, np.ones((len(data), 1))])
+    used = np.flatnonzero((x != 0).any(axis=0))
+    x = x[:, used]
+    order = sorted(range(len(data)), key=lambda i: (zlib.crc32(share[i][share[i] > 0].tobytes()), data[i][2]))
+
+    def weights(z, n):
+        w = np.zeros_like(z)
+        for i, j in np.ndindex(*z.shape):
+            if abs(z[i, j]) > langid.L1:
+                w[i, j] = -(z[i, j] - np.sign(z[i, j]) * langid.L1) / ((langid.BETA + n[i, j] ** 0.5) / langid.ALPHA + langid.L2)
+        return w
+
+    z, n = np.zeros((len(used), len(languages))), np.zeros((len(used), len(languages)))
+    for _ in range(langid.ROUNDS):
+        states = []
+        for s in range(langid.SHARDS):
+            own_z, own_n = z.copy(), n.copy()
+            for i in [i for i in order if shard[data[i][0]] == s]:
+                w = -(own_z - np.sign(own_z) * langid.L1) / ((langid.BETA + np.sqrt(own_n)) / langid.ALPHA + langid.L2)
+                w[np.abs(own_z) <= langid.L1] = 0
+                e = np.exp(x[i] @ w - (x[i] @ w).max())
+                p = e / e.sum()
+                p[languages.index(data[i][2])] -= 1
+                g = np.outer(x[i], p)
+                own_z += g - (np.sqrt(own_n + g**2) - np.sqrt(own_n)) / langid.ALPHA * w
+                own_n += g**2
+            if any(shard[r[0]] == s for r in data):
+                states.append((own_z, own_n))
+        z, n = np.mean([a for a, _ in states], axis=0), np.mean([b for _, b in states], axis=0)
+    w = weights(z, n)
+    assert model.languages == languages
+    want = np.zeros_like(model.weights)
+    want[used[:-1]] = w[:-1] * (idf[used[:-1]] * langid.SCALE)[:, None]
+    assert np.allclose(model.weights, want, atol=1e-8) and np.allclose(model.bias, w[-1], atol=1e-8)
+    kept = [i for i in range(len(data)) if shard[data[i][0]] == langid.SHARDS]
+    logits, labels = x[kept] @ w, [languages.index(data[i][2]) for i in kept]
+
+    def loss(t):
+        p = np.exp(logits / t - (logits / t).max(axis=1, keepdims=True))
+        return -np.log(p[range(len(kept)), labels] / p.sum(axis=1)).mean()
+
+    assert kept and loss(model.temperature) <= min(loss(t) for t in np.exp(np.linspace(-3, 3, 200))) + 1e-6
