@@ -101,6 +101,17 @@ def test_equals_brute_force(spark, seed, sent, part, limit):
     assert order(tuple(r) for r in got.collect()) == order(brute_force(rows))
 
 
+def test_long_chunks_are_forgotten(monkeypatch):
+    """Texts with other white space are chunks of their own and do not stay in memory."""
+    monkeypatch.setattr(alignment, "CHARS", 5_000)
+    aligner = alignment.Aligner(A, B)
+    texts = [f"a tab\there, {i} " * 100 for i in range(40)] + ["plain words"]
+    want = brute_force([(None, t) for t in texts])
+    for text, row in zip(texts, want, strict=True):
+        assert aligner.texts_aligned([text])[0][:5] == row[1:6]
+        assert sum(map(len, aligner.index)) == aligner.chars <= 5_000
+
+
 def test_one_very_long_text(spark):
     text = "A long text, with words; and 'marks'!\n" * 60_000 + "q" * 50_000
     lib = Library()

@@ -35,6 +35,7 @@ from wicara.llm.common import Scratch, lean, pieces, small_batches
 PART = 4_000_000  # characters of a text aligned at a time
 TOGETHER = 1_000_000  # characters whose chunks are looked up together
 LIMIT = 250_000  # chunks a worker remembers; beyond it only those met more than once stay
+CHARS = 20_000_000  # characters of these chunks, likewise
 PAIRS = 1 << 22  # pairs counted before they are handed on
 SENT_PAIRS = 4_000_000  # pair counts sent to every worker (about 50 MB); more are joined
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -208,7 +209,7 @@ class Aligner:
         self.width = len(self.tokens.b_bytes)
         if len(self.tokens.a_bytes) * self.width >= 1 << 32:
             raise ValueError("pairs of ids need more than 32 bits")
-        self.index = _Numbers()
+        self.index, self.chars = _Numbers(), 0
         self.texts: list[str | None] = []
         self.shape = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links
         self.codes, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -234,6 +235,7 @@ class Aligner:
         chunks = list(self.index)
         self.codes = self._links(kept)
         self.index = _Numbers((chunks[i], n) for n, i in enumerate(kept.tolist()))
+        self.chars = sum(map(len, self.index))
         self.texts = [self.texts[i] for i in kept.tolist()]
         self.shape, self.met = self.shape[kept], self.met[kept] // 2
 
@@ -243,7 +245,9 @@ class Aligner:
         known, counts = len(self.index), list(map(len, found))
         at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(found)), np.int64, sum(counts))
         if len(self.index) > known:
-            self._learn(list(itertools.islice(self.index, known, None)))
+            fresh = list(itertools.islice(self.index, known, None))
+            self.chars += sum(map(len, fresh))
+            self._learn(fresh)
         self.met += np.bincount(at, minlength=len(self.met))
         owner = np.repeat(np.arange(len(texts)), counts)
         cuts = np.cumsum([0, *counts])
@@ -257,7 +261,7 @@ class Aligner:
             own = [self.texts[n] for n in numbers[cuts[i] : cuts[i + 1]]]
             text = None if None in own else ";".join(own)
             out.append((shapes[i], text, codes[ends[i] : ends[i + 1]], counted[ends[i] : ends[i + 1]]))
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.chars > CHARS:
             self._forget()
         return out
 

@@ -63,9 +63,10 @@ class _Numbers(dict):
 
 
 class FastWordIds:
-    """Ids of whole texts. Beyond ``LIMIT`` pieces only those met more than once stay known."""
+    """Ids of whole texts. Beyond ``LIMIT`` pieces or ``CHARS`` characters only those met more than once stay known."""
 
     LIMIT = 400_000
+    CHARS = 20_000_000
     TOGETHER = 1_000_000  # characters looked up together
 
     def __init__(self, path: str):
@@ -77,7 +78,7 @@ class FastWordIds:
             self.ends[rank] = len(data) > 1 and data[-1] == 0
         self.encoder = tiktoken.Encoding("pieces", pat_str="[^\0]+\0", mergeable_ranks=ranks, special_tokens={})
         self.library = tokenizer(path)
-        self.index = _Numbers()
+        self.index, self.chars = _Numbers(), 0
         self.ids, self.sizes, self.met = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
 
@@ -100,6 +101,7 @@ class FastWordIds:
         pieces = list(self.index)
         self.ids = self._gather(kept)
         self.index = _Numbers((pieces[i], n) for n, i in enumerate(kept.tolist()))
+        self.chars = sum(map(len, self.index))
         self._place(self.sizes[kept], self.met[kept] // 2)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
@@ -108,11 +110,13 @@ class FastWordIds:
         every = map(self.index.__getitem__, itertools.chain.from_iterable(pieces))
         at = np.fromiter(every, np.int64, sum(counts))
         if len(self.index) > known:
-            self._learn(list(itertools.islice(self.index, known, None)))
+            fresh = list(itertools.islice(self.index, known, None))
+            self.chars += sum(map(len, fresh))
+            self._learn(fresh)
         self.met += np.bincount(at, minlength=len(self.met))
         ids = self._gather(at)
         ends = np.concatenate([[0], np.cumsum(self.sizes[at])])[np.cumsum([0, *counts])]
-        if len(self.index) > self.LIMIT:
+        if len(self.index) > self.LIMIT or self.chars > self.CHARS:
             self._forget()
         return [ids[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
