@@ -79,7 +79,7 @@ def test_stages_take_an_empty_table(spark, planted):
 
 def test_registered_queries():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES)
 
 
