@@ -59,6 +59,17 @@ def test_state_ends_and_late_posts_give_no_row(spark, tmp_path):
     assert marked(spark.read.parquet(out)) == [(1, 1, True, False), (2, 2, True, False), (3, 3, True, False), (5, 3, False, False)]
 
 
+def test_a_table_in_a_folder_of_part_files_is_a_feed(spark, tables, tmp_path):
+    from wicara.catalog import QUERIES
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{tables}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query, columns in (("repeat_stream", 5), ("feed_stream", 6)):
+        whole = sorted(QUERIES[query](spark, tables).collect())
+        assert len(whole[0]) == columns
+        assert sorted(QUERIES[query](spark, str(tmp_path)).collect()) == whole
+
+
 def test_odd_tables(spark):
     rows = [(1, None, "a", 0), (2, START, "a", 1), (3, START, "a", 1), (4, START, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -233,13 +233,18 @@ where d.lang = 'en' and d.source in {sql_list(FEED_TAGS)} group by d.doc_id
 """
 
 
+def landed(spark, folder, name):
+    """A table as a landed feed; the pattern takes a single file as well as a folder of part files."""
+    schema = read_table(spark, folder, name).schema
+    return read_feed(spark, f"{folder}/{{{name}.parquet}}", schema, "parquet")
+
+
 @query("feed_stream", FEED_SQL)
 def feed_stream(spark, folder):
     """The documents as a landed feed, scored by a stream that runs until the files are used up."""
     base = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
     remove_on_exit(spark, base)
-    schema = read_table(spark, folder, "documents").schema
-    posts = read_feed(spark, folder, schema, "parquet", pathGlobFilter="documents.parquet")
+    posts = landed(spark, folder, "documents")
     scored = score_feed(
         posts,
         expressions(spark),
@@ -275,8 +280,7 @@ def repeat_stream(spark, folder):
     """The same from a stream with keyed state."""
     base = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
     remove_on_exit(spark, base)
-    schema = read_table(spark, folder, "documents").schema
-    posts = read_feed(spark, folder, schema, "parquet", pathGlobFilter="documents.parquet")
+    posts = landed(spark, folder, "documents")
     marked = mark_repeats(dated(posts), "text", "doc_id", "at", "y")
     write_feed(marked, f"{base}/out", f"{base}/state", once=True).awaitTermination()
     return spark.read.schema(marked.schema).parquet(f"{base}/out")
