@@ -173,3 +173,18 @@ def test_flags(spark):
     assert [tuple(r) for r in got] == [(1, 1), (1, 0), (1, 0), (0, 0)]
     assert [r[0] for r in df.select(rules.mood_proxy("svm")).collect()][:2] == ["happy", "angry"]
     assert df.select(F.max(rules.sentiment_proxy("svm"))).first()[0] == "positive"
+
+
+@pytest.mark.parametrize("first_words", [100_000, 1])
+def test_joined_phrases_of_all_lengths(spark, monkeypatch, first_words):
+    """Each distinct n-gram once, with no array of all n-grams of a text in the plan."""
+    monkeypatch.setattr(lexicon, "FIRST_WORDS", first_words)
+    names = ["a", "a b", "b c d", "c d", "d a b a", "e f", "z"]
+    entries = spark.createDataFrame([(i, n, r) for i, n in enumerate(names) for r in "yx"], "position long, expression string, region string")
+    texts_ = ["A b, a b! c d", "d a b a d a b a", "b c", "", None, "e e f", "a"]
+    df = spark.createDataFrame(list(enumerate(texts_)), "id long, text string")
+    found = lexicon.lexicon_hits(df, "text", "id", lexicon.group_lexicon(entries))
+    got = {r["id"]: [m["expression"] for m in r["matches"]] for r in found.collect()}
+    assert got == {0: ["a", "a b", "b c d", "c d"], 1: ["a", "a b", "d a b a"], 5: ["e f"], 6: ["a"]}
+    assert all(m["regions"] == ["x", "y"] for r in found.collect() for m in r["matches"])
+    assert "lambdafunction(array_join" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from wicara.functions.wordlists import PROFANITY
 from wicara.operators.trie import trie_matcher
 from wicara.session import cut_lineage
 
+FIRST_WORDS = 100_000  # words that start a phrase, sent to every task
 MATCHES = "array<struct<expression:string,regions:array<string>>>"
 
 Expressions = Sequence[tuple[str, Sequence[str]]]
@@ -135,25 +136,36 @@ def match_inline(clean: Column, expressions: Expressions) -> Column:
 def lexicon_hits(df: DataFrame, text: str, row_id: str, grouped: DataFrame, out: str = "matches") -> DataFrame:
     """(row_id, matches) of the rows with a match, for a lexicon of any size.
 
-    The word n-grams of each text, each distinct one once and only of sizes the lexicon has, are
-    joined with the expressions; texts themselves are not moved.
+    The distinct words of each text are joined with the expressions of one word; of the longer
+    n-grams, only those that start as an expression does are spelled out, if at most ``FIRST_WORDS``
+    words start one. Texts themselves are not moved.
     """
-    sizes = [
-        row["n"] for row in grouped.select(F.size(F.split("expression", " ")).alias("n")).distinct().collect()
-    ]  # phrase lengths
-
-    def grams(n: int) -> Column:
-        if n == 1:
-            return F.col("_words")
-        starts = F.when(
-            F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - F.lit(n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
-
-    tokens = bind(df.select(row_id, text), "_words", words(clean_ascii(text)))
-    none = F.array().cast("array<string>")
-    every = F.array_distinct(F.concat(none, *[grams(n) for n in sorted(sizes)]))
-    hits = tokens.select(row_id, F.explode(every).alias("expression")).join(grouped, "expression")
+    entries = grouped.withColumn("_n", F.size(F.split("expression", " ")))
+    sizes = sorted(row["_n"] for row in entries.select("_n").distinct().collect())  # phrase lengths
+    clean = bind(df.select(row_id, text), "_clean", clean_ascii(text)).where("_clean <> ''")
+    tokens = clean.select(row_id, F.split("_clean", " ").alias("_words"))
+
+    # plain rows, joins and hash aggregation: all of it runs as generated code
+    found = []
+    if 1 in sizes:
+        found.append(tokens.select(row_id, F.explode(F.array_distinct("_words")).alias("expression")))
+    if longer := [n for n in sizes if n > 1]:
+        phrases = entries.where("_n > 1")
+        places = tokens.select(row_id, "_words", F.posexplode("_words").alias("_at", "_first"))
+        starts = phrases.groupBy(F.substring_index("expression", " ", 1).alias("_first")).agg(
+            F.collect_set("_n").alias("_sizes")
+        )
+        if starts.limit(FIRST_WORDS + 1).count() <= FIRST_WORDS:
+            pairs = places.join(F.broadcast(starts), "_first")
+        else:  # every place may start an expression of every length
+            pairs = places.withColumn("_sizes", F.array(*[F.lit(n) for n in longer]))
+        pairs = pairs.select(row_id, "_words", "_at", F.explode("_sizes").alias("_n"))
+        spelled = F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_n")), " ")
+        grams = pairs.where(F.col("_at") + F.col("_n") <= F.size("_words")).select(row_id, spelled.alias("expression"))
+        found.append(grams.join(phrases.select("expression"), "expression", "left_semi").select(row_id, "expression").distinct())
+    if not found:
+        found.append(tokens.select(row_id, F.lit("").alias("expression")))
+    hits = reduce(DataFrame.union, found).join(grouped, "expression")
     return hits.groupBy(row_id).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("position", "expression", "regions"))),
