@@ -129,3 +129,13 @@ def test_stem_texts(spark):
 def test_a_rule_must_fit_its_kind():
     with pytest.raises(ValueError):
         Prefix("me", "ber")
+
+
+def test_each_distinct_word_is_framed_once(spark):
+    """The words are made distinct before they are framed, also where nothing is written in between."""
+    from wicara.catalog import stemming as catalog
+
+    words = spark.createDataFrame([("makan",), ("makan",), ("jalan",)], "word string").repartition(2)
+    plan = catalog.stem_framed(words)._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(CASE WHEN (substr(md5(" not in plan  # a filter on every occurrence
+    assert catalog.stem_framed(words).count() == 2

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wicara.catalog.base import documents, query, quoted
+from wicara.functions.columns import bind
 from wicara.operators import affixes, stemming
+from wicara.session import cut_lineage
 
 # Affixes put around the words of the documents, chosen by hash; {0} is the word, {1} all but its first letter.
 FRAMES = (
@@ -86,9 +88,15 @@ ROOTS_SQL = f"select distinct word as root from words where {IS_ROOT}"
     f"with {WORDS_SQL}, {stem_sql(f'select distinct {framed("word")} as token from words', ROOTS_SQL)} select token, stem from stems",
 )
 def stem_tokens(spark, folder):
-    found = words_of(documents(spark, folder)).distinct()
+    return stem_framed(words_of(documents(spark, folder)))
+
+
+def stem_framed(words):
+    """Tokens made of the distinct words, by the roots among these."""
+    found = cut_lineage(words.distinct())
     roots = found.where(IS_ROOT).select(F.col("word").alias("root"))
-    return stemming.stem_tokens(found.select(F.expr(framed("word")).alias("token")), roots)
+    # bound: the optimizer would drop the distinct below the next one and frame every occurrence of a word
+    return stemming.stem_tokens(bind(found, "token", F.expr(framed("word"))), roots)
 
 
 @query(
