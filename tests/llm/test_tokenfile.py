@@ -72,3 +72,28 @@ def test_index_equals_the_library(spark, monkeypatch, chunk):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tokenfile.token_index(df, PATH).collect() == []
+
+
+def test_only_strange_texts_go_to_the_library(spark, monkeypatch):
+    """Plain texts are cut into pieces and encoded together, as in packing."""
+    from wicara.llm import fastwords
+
+    asked = []
+
+    class Library:
+        def encode(self, text, **options):
+            asked.append(text)
+            return Tokenizer.from_file(PATH).encode(text, **options)
+
+    known = fastwords.FastWordIds(PATH)
+    known.library = Library()
+    monkeypatch.setitem(tokenfile._KNOWN, PATH, known)
+    import pyarrow as pa
+
+    texts = [t for _, t in TEXTS[:4]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], names=["key", "body"])
+    (chunk,) = tokenfile._write_chunks(PATH, 2)(iter([batch]))
+    ((keys, sizes, ids),) = tokenfile.unpack_chunks(chunk.column(0)[0].as_py() + b"\n")
+    library = Tokenizer.from_file(PATH)
+    assert ids.tolist() == [i for t in texts for i in [*library.encode(t or "", add_special_tokens=False).ids, 2]]
+    assert asked == [TEXTS[3][1]]

@@ -18,8 +18,6 @@ an id are documents of their own, in text order. Columns other than id and text
 
 from __future__ import annotations
 
-import itertools
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wicara.llm.common import Scratch, lean, slices, split_words
+from wicara.llm.common import Scratch, lean
 
 BLOCK = 2048
 RENEW = 256
@@ -277,106 +275,7 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-class WordIds:
-    """Ids of words between white space; each distinct word is tokenized once.
-
-    Words with a case or an end mark of their own share the tokens of the bare word. Unknown words
-    are tokenized many in one text, apart by a sign that is a token of its own. Beyond ``LIMIT``
-    words only those met more than once stay.
-    """
-
-    LIMIT = 300_000
-    TOGETHER = 4000
-    _APART = "\x00"
-    _LATER = re.compile("[\u0300-\U0010ffff]")  # beyond these, lower case and composition may interact
-
-    def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.apart = self.tokenizer.encode(self._APART, add_special_tokens=False).ids
-        self.index: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint16)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.met = np.zeros(0, np.int64)
-
-    def lowered(self, text: str) -> str:
-        if "<|" in text or not (text.isascii() or not self._LATER.search(text)):
-            return text
-        return text.lower()
-
-    def _tokenize(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in turn, ids of each word)."""
-        ids, sizes = [], []
-        for first in range(0, len(words), self.TOGETHER):
-            part = words[first : first + self.TOGETHER]
-            joined = f" {self._APART} ".join(part)
-            found = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.uint16)
-            cuts = np.flatnonzero(found == self.apart[0]) if len(self.apart) == 1 else np.zeros(0, np.int64)
-            if len(cuts) == len(part) - 1 and "<|" not in joined:
-                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(found)]])) - 1)
-                ids.append(np.delete(found, cuts))
-            else:  # a word holds the sign itself, or special tokens
-                alone = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-                sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
-                ids.append(np.fromiter((i for a in alone for i in a), np.uint16, int(sizes[-1].sum())))
-        return np.concatenate(ids), np.concatenate(sizes)
-
-    def _learn(self, words: list[str]) -> None:
-        bare = {w: w[:-1] if w[-1] in ".,;:!?" and w[:-1].isalpha() else w for w in words}
-        ends = {w[-1] for w, b in bare.items() if len(b) < len(w)}
-        unknown = list((set(bare.values()) | ends) - self.index.keys())
-        if unknown:
-            ids, sizes = self._tokenize(unknown)
-            first = len(self.index)
-            self.index.update(zip(unknown, range(first, first + len(unknown)), strict=True))
-            self._append(ids, sizes)
-        marked = [w for w, b in bare.items() if len(b) < len(w) and w not in self.index]
-        if marked:
-            body = np.fromiter((self.index[w[:-1]] for w in marked), np.int64, len(marked))
-            mark = np.fromiter((self.index[w[-1]] for w in marked), np.int64, len(marked))
-            both = np.stack([body, mark], axis=1).reshape(-1)
-            ids, sizes = self._gather(both), self.sizes[body] + self.sizes[mark]
-            first = len(self.index)
-            self.index.update(zip(marked, range(first, first + len(marked)), strict=True))
-            self._append(ids, sizes)
-
-    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, ids])
-        self.met = np.concatenate([self.met, np.zeros(len(sizes), np.int64)])
-
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        sizes = self.sizes[at]
-        before = np.cumsum(sizes) - sizes
-        return self.ids[np.repeat(self.starts[at] - before, sizes) + np.arange(int(sizes.sum()))]
-
-    def _forget(self) -> None:
-        kept = np.flatnonzero(self.met > 1)
-        chosen = set(kept.tolist())
-        words = [w for w, i in self.index.items() if i in chosen]
-        old = np.fromiter((self.index[w] for w in words), np.int64, len(words))
-        ids, sizes, met = self._gather(old), self.sizes[old], self.met[old] // 2
-        self.index = dict(zip(words, range(len(words)), strict=True))
-        self.ids, self.sizes, self.starts, self.met = ids, sizes, np.cumsum(sizes) - sizes, met
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [[w for part in slices(t or "", 4_000_000) for w in split_words(self.lowered(part))] for t in texts]
-        fresh = set().union(*words) - self.index.keys()
-        if fresh and len(self.index) + len(fresh) > self.LIMIT:
-            self._forget()
-            fresh = set().union(*words) - self.index.keys()
-        if fresh:
-            self._learn(list(fresh))
-        every = itertools.chain.from_iterable(words)
-        at = np.fromiter(map(self.index.__getitem__, every), np.int64, sum(map(len, words)))
-        self.met += np.bincount(at, minlength=len(self.met))
-        ids, sizes = self._gather(at), self.sizes[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, words)])]
-        return [ids[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-
-_KNOWN: dict[str, WordIds] = {}
+_KNOWN: dict[str, object] = {}
 
 
 def _write_chunks(path: str, end_id: int):
@@ -384,8 +283,10 @@ def _write_chunks(path: str, end_id: int):
     def run(batches):
         import pyarrow as pa
 
+        from wicara.llm.fastwords import FastWordIds  # it needs the tokenizer above
+
         if path not in _KNOWN:
-            _KNOWN[path] = WordIds(path)
+            _KNOWN[path] = FastWordIds(path)
         words, keys, parts, held = _KNOWN[path], [], [], 0
 
         def chunk():
