@@ -97,3 +97,43 @@ def test_only_strange_texts_go_to_the_library(spark, monkeypatch):
     library = Tokenizer.from_file(PATH)
     assert ids.tolist() == [i for t in texts for i in [*library.encode(t or "", add_special_tokens=False).ids, 2]]
     assert asked == [TEXTS[3][1]]
+
+
+def test_equal_words_are_looked_up_once_a_call():
+    from wicara.llm import fastwords
+
+    class Counting(fastwords._Numbers):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    known = fastwords.FastWordIds(PATH)
+    known.index = Counting()
+    texts = ["the salad, the words; the salad isn't it " * 200] * 50
+    library = Tokenizer.from_file(PATH)
+    assert [ids.tolist() for ids in known.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert known.index.asked < 20
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_odd_words_equal_the_library(seed):
+    import random
+
+    from wicara.llm import fastwords
+
+    r, known, library = random.Random(seed), fastwords.FastWordIds(PATH), Tokenizer.from_file(PATH)
+    parts = ["'s", "'ST", "'", "''", "'re", "don't", "x'll've", "\"'d", ",'m", "12", "7", "a1'2", "é", "ÀÉÞ", "ß'T", "ÿ", "_-", "!?", "~", "e" * 16, "e" * 17, "f" * 8 + "g" * 8]
+    gaps = ["", "", " ", "  ", "\n", "\t\r\n"]
+    texts = ["".join(r.choice(parts) + r.choice(gaps) for _ in range(r.randrange(40))) for _ in range(300)]
+    texts += ["", None, " ", "\n\n", "q" * 5000, "ab" * 9 + " " + "ab" * 9, " 'tis ", "×", "a÷b", "日本", "a\x0bb", "a\xa0b"]
+    got = known.encode(texts) + known.encode([t for t in texts if t and t.isascii()])
+    want = texts + [t for t in texts if t and t.isascii()]
+    assert [ids.tolist() for ids in got] == [library.encode(t or "", add_special_tokens=False).ids for t in want]
+
+
+def test_tables_of_a_block_are_small():
+    """They are read at random in every step, so they should stay in the processor's caches."""
+    model = tokenfile.Model(64)
+    assert sum(a.nbytes for a in vars(model).values() if isinstance(a, np.ndarray)) <= 64 * 4096
