@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -12,7 +13,10 @@ START = datetime(2026, 1, 1)
 
 def land(folder, number, rows):
     lines = [json.dumps({"id": i, "at": (START + timedelta(minutes=m)).isoformat(), "text": t, "y": y}) for i, m, t, y in rows]
-    (folder / f"{number:03d}.json").write_text("\n".join(lines))
+    file = folder / f"{number:03d}.json"
+    file.write_text("\n".join(lines))
+    # files of one millisecond have no order of arrival
+    os.utime(file, (START.timestamp() + number, START.timestamp() + number))
 
 
 def by_hand(rows):
